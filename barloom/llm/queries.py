@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .ngram_join import op8_ngram_join
 from .substring_dedup import op9_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_ngram_join": op8_ngram_join,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_ngram_join": sql.OP8,
         "op9_substring_dedup": sql.OP9,
     }
