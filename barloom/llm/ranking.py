@@ -23,10 +23,13 @@ def ranked(df: DataFrame, keys: list, scratch: Scratch, name: str, within: list[
     one = F.lit(1).cast("long") if weight is None else weight
     per = cut.groupBy("part", *within).agg(F.sum(one).alias("own"))
     before = per.withColumn("base", F.coalesce(F.sum("own").over(Window.partitionBy(*within).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    match = cut["part"].eqNullSafe(before["part"])
-    for c in within:
-        match = match & cut[c].eqNullSafe(before[c])
-    joined = cut.join(before.select("part", *within, "base"), match).select(*(cut[c] for c in cut.columns), "base")
+    names = {c: f"__of_{k}" for k, c in enumerate(("part", *within))}
+    before = before.select(*(F.col(c).alias(to) for c, to in names.items()), "base")
+    match = None
+    for c, to in names.items():
+        same = F.col(c).eqNullSafe(F.col(to))
+        match = same if match is None else match & same
+    joined = cut.join(before, match).drop(*names.values())
     if weight is None:
         return joined.withColumn("rank", F.col("base") + F.row_number().over(place) - 1).drop("part", "base")
     return joined.withColumn("before", F.col("base") + F.coalesce(F.sum(weight).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("part", "base")
