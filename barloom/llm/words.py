@@ -17,6 +17,9 @@ U64 = np.uint64
 #: White space that separates words: space, tab, newline, VT, FF, CR.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: The same and all ASCII but letters and digits.
+PLAIN = np.ones(256, dtype=bool)
+PLAIN[128:] = PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = False
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 _rng = np.random.default_rng(20240229)
@@ -58,9 +61,9 @@ class Words:
     ``first``: for document d its words are ``first[d]:first[d + 1]``.
     """
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE):
         self.data, self.bounds = data, bounds
-        word = ~SPACE[data]
+        word = ~space[data]
         opens = word.copy()
         opens[1:] &= ~word[:-1]
         inner = bounds[:-1]
@@ -159,9 +162,9 @@ def blocks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, n
         at = to
 
 
-def word_blocks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, Words]]:
+def word_blocks(column: pa.Array, limit: int = 4 << 20, space: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     for at, to, data, bounds in blocks(column, limit):
-        yield at, to, Words(data, bounds)
+        yield at, to, Words(data, bounds, space)
 
 
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
