@@ -3,7 +3,7 @@
 The lexicon holds the words (folded, split at white space) whose inverse
 document frequency ln(N / df) lies in a band.  Each of ``LEXICONS`` random
 lexicons keeps a share of it, by a hash of the word; shares fall by powers of
-two from 1/2, so that texts of every length have lexicons of which they hold a
+two from 1/4, so that texts of every length have lexicons of which they hold a
 few words.  A fingerprint's part is the hash of the sorted distinct words that
 the text shares with one lexicon, empty if none; likeness of two fingerprints
 is the share of equal parts among those that either fills.
@@ -28,7 +28,7 @@ from .ranking import ranked
 
 #: ln(N / df) from and to which a word belongs to the lexicon.
 BAND = (2.0, 9.0)
-LEXICONS = 32
+LEXICONS = 64
 RATES = 8
 BOUND = 1 << 19
 
@@ -45,7 +45,7 @@ def lexicon(rows: DataFrame, scratch: Scratch, band: tuple[float, float] = BAND)
     idf = F.log(F.lit(float(max(total, 1))) / F.col("df"))
     # A small table's rarest words have an idf below the band's end; they count all the same.
     inside = counts.where((idf >= band[0]) & (idf <= band[1])).select("word")
-    picks = F.array(*(F.when(F.pmod(F.xxhash64("word", F.lit(k)), F.lit(2 << k % RATES)) == 0, F.lit(k)) for k in range(LEXICONS)))
+    picks = F.array(*(F.when(F.pmod(F.xxhash64("word", F.lit(k)), F.lit(4 << k % RATES)) == 0, F.lit(k)) for k in range(LEXICONS)))
     return scratch.keep(inside.select("word", F.explode(F.array_compact(picks)).alias("part")), "lexicon")
 
 
@@ -53,8 +53,8 @@ def fingerprints(rows: DataFrame, keys: list[str], lex: DataFrame) -> DataFrame:
     """``keys`` and ``fingerprint`` of each row of ``rows`` (keys, text); keys are unique."""
     near = F.broadcast(lex) if lex.count() <= BOUND else lex
     words = rows.select(*keys, F.explode(words_of(F.col("text"))).alias("word"))
-    held = words.join(near, "word").groupBy(*keys, "part").agg(F.xxhash64(F.sort_array(F.collect_list("word"))).alias("h"))
-    parts = held.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("part", "h"))).alias("m"))
+    held = words.join(near, "word").groupBy(*keys, "part").agg(F.xxhash64(F.sort_array(F.collect_list("word"))).alias("value"))
+    parts = held.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("part", "value"))).alias("m"))
     whole = rows.select(*keys, F.xxhash64(F.sort_array(words_of(F.col("text")))).alias("whole"))
     given = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     parts = parts.select(*(F.col(k).alias(f"__{k}") for k in keys), "m")

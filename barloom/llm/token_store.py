@@ -165,7 +165,7 @@ def read_store(spark: SparkSession, place: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the store, verified; ids as little-endian 32-bit numbers."""
     recipes = spark.read.parquet(f"{place}/recipes")
     chunks = spark.read.parquet(f"{place}/chunks")
-    needs = recipes.select("part", F.explode("digests").alias("digest")).distinct().join(chunks, "digest")
+    needs = recipes.select(F.col("part").alias("of_part"), F.explode("digests").alias("digest")).distinct().join(chunks, "digest")
     proof = spark.read.parquet(f"{place}/manifest").select("part", F.col("root").alias("proof"))
 
     def build(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -184,7 +184,7 @@ def read_store(spark: SparkSession, place: str) -> DataFrame:
         return pa.table({"doc_id": left["doc_id"], "start": left["start"], "n_tokens": left["n_tokens"], "ids": pa.array(ids, pa.binary())})
 
     recipes = recipes.join(proof, "part", "left")
-    return recipes.groupBy("part").cogroup(needs.groupBy("part")).applyInArrow(build, "doc_id long, start long, n_tokens long, ids binary")
+    return recipes.groupBy("part").cogroup(needs.groupBy("of_part")).applyInArrow(build, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
