@@ -27,7 +27,7 @@ from .common import Scratch, documents, texts
 from .ranking import ranked
 
 #: ln(N / df) from and to which a word belongs to the lexicon.
-BAND = (2.0, 9.0)
+BAND = (2.0, 7.0)
 LEXICONS = 64
 RATES = 8
 BOUND = 1 << 19

@@ -63,28 +63,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.token_to_id("<|endoftext|>")
+        self.between = " <|endoftext|> "
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.hashes = np.zeros(0, np.uint64)
+        self.begin = self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of word after word, number of ids of each); one call for all that don't hold the mark between them."""
+        plain = [w for w in words if "<|" not in w]
+        ids = np.array(self.tokenizer.encode(self.between.join(plain), add_special_tokens=False).ids, dtype=np.uint32)
+        at = np.flatnonzero(ids == self.mark)
+        edges = np.concatenate(([-1], at, [len(ids)]))
+        size, flat = np.diff(edges) - 1, np.delete(ids, at)
+        if len(plain) == len(words):
+            return flat, size
+        parts, k = np.split(flat, np.cumsum(size)[:-1]), 0
+        own = []
+        for w in words:
+            if "<|" in w:
+                own.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.uint32))
+            else:
+                own.append(parts[k])
+                k += 1
+        return np.concatenate(own), np.array([len(x) for x in own])
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        for k in range(0, len(words), 4096):
+            flat, size = self._encode(words[k : k + 4096])
+            at = np.searchsorted(self.hashes, hashes[k : k + 4096])
+            self.hashes = np.insert(self.hashes, at, hashes[k : k + 4096])
+            self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, at, size)
+            self.flat = np.concatenate((self.flat, flat))
 
     def encode(self, words: Words, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of document after document, each with the end id; bounds)."""
         hashes, at, row = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
+        if len(self.hashes) > CACHE:
             self._clear()
-        new = [(h, k) for h, k in zip(hashes.tolist(), at.tolist(), strict=True) if h not in self.known]
-        if new:
-            got = self.tokenizer.encode_batch_fast([words.text(k).decode() for _, k in new], add_special_tokens=False)
-            for (h, _), x in zip(new, got, strict=True):
-                self.known[h] = len(self.ids)
-                self.ids.append(np.array(x.ids, dtype=np.uint32))
-        own = [self.ids[self.known[h]] for h in hashes.tolist()]
-        size = np.array([len(x) for x in own], dtype=np.int64)
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        begin = np.cumsum(size) - size
+        new = ~np.isin(hashes, self.hashes, assume_unique=True)
+        if new.any():
+            self._learn(hashes[new], [words.text(k).decode() for k in at[new].tolist()])
+        own = np.searchsorted(self.hashes, hashes)
+        size, begin, flat = self.size[own], self.begin[own], self.flat
         lengths = size[row] if len(row) else np.zeros(0, np.int64)
         body = flat[spans(begin[row], lengths)] if len(row) else flat
         total = np.concatenate(([0], np.cumsum(lengths)))
@@ -128,7 +154,7 @@ def write_store(docs: DataFrame, place: str, tokenizer_path: str, end: int = 1,
         kind = "<u4" if encoder.wide or end >= 1 << 16 else "<u2"
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for lo, hi, words in word_blocks(batch.column("text"), 1 << 20):
+            for lo, hi, words in word_blocks(batch.column("text")):
                 ids, bounds = encoder.encode(words, end)
                 raw, width = ids.astype(kind).tobytes(), int(kind[-1])
                 chunks, roots = [], []
