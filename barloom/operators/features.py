@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .kernel import ORDER, indicator, rows
+from .kernel import order, indicator, rows
 
 #: The output's columns in their order.
 FEATURES = (
@@ -21,7 +21,7 @@ FEATURES = (
 
 def back(name: str, n: int = 1) -> Column:
     """The value n bars ago, or the series' first."""
-    return F.coalesce(F.lag(name, n).over(ORDER), F.first(name).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    return F.coalesce(F.lag(name, n).over(order()), F.first(name).over(order().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def flag(c: Column) -> Column:
@@ -37,9 +37,9 @@ def expand(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int = 20
     if not 0 < down < up < 1 or window < 1 or span < 1:
         raise ValueError("levels must satisfy 0 < down < up < 1 and windows be positive")
     r, w = F.col("rsi"), rows(1 - window)
-    x = df.withColumn("rn", F.row_number().over(ORDER)).withColumn("regime", F.when(r < down, 0).when(r > up, 2).otherwise(1).cast("long"))
+    x = df.withColumn("rn", F.row_number().over(order())).withColumn("regime", F.when(r < down, 0).when(r > up, 2).otherwise(1).cast("long"))
     was = back("rsi")
-    since = lambda c: F.col("rn") - F.coalesce(F.last(F.when(c, F.col("rn")), ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    since = lambda c: F.col("rn") - F.coalesce(F.last(F.when(c, F.col("rn")), ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
     x = x.withColumns({
         "regime_bearish": flag(F.col("regime") == 0), "regime_neutral": flag(F.col("regime") == 1), "regime_bullish": flag(F.col("regime") == 2),
         "regime_changed": flag(F.col("regime") != back("regime")),
@@ -62,7 +62,7 @@ def expand(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int = 20
     })
     alpha = 2 / (span + 1)
     ema = F.aggregate(F.collect_list("rsi_change_1").over(rows(-128)), F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(a + alpha * (v - a)))
-    run = F.sum("regime_changed").over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("regime_changed").over(order().rowsBetween(Window.unboundedPreceding, 0))
     hundred = rows(-99)
     path = F.sum("dc").over(w)
     x = x.withColumns({

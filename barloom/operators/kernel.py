@@ -12,11 +12,13 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-ORDER = Window.partitionBy("series").orderBy("ts")
+def order():
+    return Window.partitionBy("series").orderBy("ts")
+
 
 
 def rows(a: int, b: int = 0):
-    return ORDER.rowsBetween(a, b)
+    return order().rowsBetween(a, b)
 
 
 def reach(period: int, offset: float = 0.75) -> int:
@@ -30,7 +32,7 @@ def reach(period: int, offset: float = 0.75) -> int:
 
 def volatility(df: DataFrame, period: int = 14, offset: float = 0.75) -> DataFrame:
     """Adds tr, atr, min_atr, max_atr, adaptive_coeff, gamma."""
-    before = F.lag("close").over(ORDER)
+    before = F.lag("close").over(order())
     tr = F.when(before.isNull(), F.col("high") - F.col("low")).otherwise(F.greatest("high", before) - F.least("low", before))
     out = df.withColumn("tr", tr)
     out = out.withColumn("trs", F.collect_list("tr").over(rows(1 - period))).withColumn("atr", F.avg("tr").over(rows(1 - period)))
