@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .common import documents, map_arrow
-from .words import PLAIN, U64, Words, mix, run_starts, runs, spans, word_blocks
+from .words import PLAIN, U64, Words, mix, runs, spans, word_blocks
 
 RATIO = 0.2
 REPEATS = 24
@@ -97,7 +97,10 @@ class Items:
                     offset.append(np.tile(np.arange(n - q + 1), len(own)))
             seed, size, offset = map(np.concatenate, (seed, size, offset))
             order = np.argsort(seed, kind="stable")
-            self.seeds[q] = seed[order], size[order], offset[order]
+            seed = seed[order]
+            maybe = np.zeros(1 << 20, dtype=bool)
+            maybe[(seed >> U64(44)).astype(np.int64)] = True
+            self.seeds[q] = seed, size[order], offset[order], maybe
         self.keys = {}
         for n, _, _, _, rows in self.groups:
             for r in range(REPEATS):
@@ -111,16 +114,17 @@ class Items:
         if not self.groups or not len(words.start):
             return none
         hashes = words.hashes(fold=True)
-        doc_of = words.doc_of()
+        doc_of = lambda at: np.searchsorted(words.first, at, side="right") - 1
         starts, sizes = [], []
-        for q, (seed, size, offset) in self.seeds.items():
+        for q, (seed, size, offset, maybe) in self.seeds.items():
             own = runs(hashes, q, 31)
-            at = np.flatnonzero(run_starts(words.first, q)[: len(own)])
+            at = np.flatnonzero(maybe[(own >> U64(44)).astype(np.int64)])
+            at = at[at + q <= words.first[doc_of(at) + 1]]
             lo, hi = np.searchsorted(seed, own[at]), np.searchsorted(seed, own[at], side="right")
             hit = hi > lo
             at, lo, hi = at[hit], lo[hit], hi[hit]
             place, entry = np.repeat(at, hi - lo), spans(lo, hi - lo)
-            first, end = words.first[doc_of[place]], words.first[doc_of[place] + 1]
+            first, end = words.first[doc_of(place)], words.first[doc_of(place) + 1]
             for d in (-1, 0, 1):
                 starts.append(np.clip(place - offset[entry] + d, first, np.maximum(end - 1, first)))
                 sizes.append(size[entry])
@@ -130,7 +134,7 @@ class Items:
             own = np.unique(start[size == n])
             if not len(own):
                 continue
-            end = words.first[doc_of[own] + 1]
+            end = words.first[doc_of(own) + 1]
             cells = own[:, None] + np.arange(n)
             window = np.where(cells < end[:, None], hashes[np.minimum(cells, len(hashes) - 1)], PAD)
             pairs = []
@@ -144,13 +148,13 @@ class Items:
             at, item = own[pair // len(ids)], pair % len(ids)
             for c in range(0, len(at), 1 << 14):
                 a, i = at[c : c + (1 << 14)], item[c : c + (1 << 14)]
-                first, end = words.first[doc_of[a]], words.first[doc_of[a] + 1]
+                first, end = words.first[doc_of(a)], words.first[doc_of(a) + 1]
                 cells = a[:, None] - k + np.arange(n + 2 * k)
                 inside = (cells >= first[:, None]) & (cells < end[:, None])
                 text = np.where(inside, hashes[np.clip(cells, 0, len(hashes) - 1)], PAD)
                 edits = best_edits(rows[i], text)
                 good = edits <= k
-                out.append((doc_of[a[good]], ids[i[good]], (a - first)[good], edits[good]))
+                out.append((doc_of(a[good]), ids[i[good]], (a - first)[good], edits[good]))
         if not out:
             return none
         doc, item, at, edits = (np.concatenate(x) for x in zip(*out, strict=True))

@@ -60,7 +60,7 @@ def by_doc(words: Words, values: np.ndarray) -> np.ndarray:
 
 
 def bags(rows: DataFrame, buckets: int = BUCKETS) -> list:
-    """Collects (label, bucket numbers, shares) of the rows (text, label); the caller bounds the rows."""
+    """Collects (label, bucket numbers, shares) of the rows (text, label); the caller bounds the rows, and buckets fit 16 bits."""
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -71,15 +71,15 @@ def bags(rows: DataFrame, buckets: int = BUCKETS) -> list:
                     at = np.arange(words.first[d], words.first[d + 1])
                     count = np.bincount(grams(words, at, buckets)[0], minlength=buckets) if len(at) else np.zeros(buckets, np.int64)
                     own = np.flatnonzero(count)
-                    which.append(own.astype(np.int32).tobytes())
-                    share.append((count[own] / max(len(at), 1)).astype(np.float32).tobytes())
+                    which.append(own.astype(np.uint16).tobytes())
+                    share.append((count[own] / max(len(at), 1)).astype(np.float16).tobytes())
                 yield pa.record_batch([label.slice(lo, hi - lo), pa.array(which, pa.binary()), pa.array(share, pa.binary())], names=["label", "which", "share"])
 
         return work
 
     got = map_arrow(rows.select("text", "label"), "label int, which binary, share binary", make).collect()
     got.sort(key=lambda r: (r.label, bytes(r.which), bytes(r.share)))
-    return [(r.label, np.frombuffer(r.which, np.int32), np.frombuffer(r.share, np.float32)) for r in got]
+    return [(r.label, np.frombuffer(r.which, np.uint16), np.frombuffer(r.share, np.float16)) for r in got]
 
 
 def train(found: list, classes: int, buckets: int = BUCKETS, width: int = 8, epochs: int = 25, rate: float = 0.05, batch: int = 128, decay: float = 1e-6, balance: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from .common import documents, map_arrow, texts
 from .words import word_blocks
 
 #: Most labelled rows of each class that the classifier learns from.
-MOST = 3000
+MOST = 1500
 EPOCHS = 12
 
 
