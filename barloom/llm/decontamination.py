@@ -42,17 +42,22 @@ _LEAKS = "array<struct<item_id:long,at:int,edits:int>>"
 _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("at", pa.int32()), ("edits", pa.int32())]))
 
 
-def walk_keys(rows: np.ndarray, repeat: int, samples: int = SAMPLES) -> np.ndarray:
-    """The sampled places of one repetition's embedding of each row, hashed."""
+def walk_keys(rows: np.ndarray, samples: int = SAMPLES, repeats: int = REPEATS) -> np.ndarray:
+    """The sampled places of each row's embedding, hashed: a row of keys for each repetition, all walked at once."""
     m, n = rows.shape
-    places = np.sort(np.random.default_rng((17, repeat, n)).choice(2 * n, min(samples, 2 * n), replace=False))
+    rng = np.random.default_rng((17, n))
+    sampled = np.zeros((2 * n, repeats), dtype=bool)
+    for r in range(repeats):
+        sampled[rng.choice(2 * n, min(samples, 2 * n), replace=False), r] = True
+    seeds = rng.integers(0, 2**63, (2 * n, repeats, 1), dtype=np.uint64)
     padded = np.concatenate((rows, np.full((m, 1), PAD)), axis=1)
-    at, key, each = np.zeros(m, np.int64), np.zeros(m, np.uint64), np.arange(m)
-    for j in range(int(places[-1]) + 1):
+    at, key, each = np.zeros((repeats, m), np.int64), np.zeros((repeats, m), np.uint64), np.arange(m)
+    for j in range(int(np.flatnonzero(sampled.any(axis=1))[-1]) + 1):
         now = padded[each, np.minimum(at, n)]
-        if j in places:
-            key = mix(key + now, 200 + j)
-        at += (mix(now, 1000 + 997 * repeat + j) >> U64(63)).astype(np.int64)
+        take = sampled[j]
+        if take.any():
+            key[take] = mix(key[take] + now[take], 200 + j)
+        at += (mix(now + seeds[j]) >> U64(63)).astype(np.int64)
     return key
 
 
@@ -103,8 +108,7 @@ class Items:
             self.seeds[q] = seed, size[order], offset[order], maybe
         self.keys = {}
         for n, _, _, _, rows in self.groups:
-            for r in range(REPEATS):
-                key = walk_keys(rows, r)
+            for r, key in enumerate(walk_keys(rows)):
                 order = np.argsort(key, kind="stable")
                 self.keys[n, r] = key[order], order
 
@@ -138,9 +142,8 @@ class Items:
             cells = own[:, None] + np.arange(n)
             window = np.where(cells < end[:, None], hashes[np.minimum(cells, len(hashes) - 1)], PAD)
             pairs = []
-            for r in range(REPEATS):
+            for r, mine in enumerate(walk_keys(window)):
                 key, order = self.keys[n, r]
-                mine = walk_keys(window, r)
                 lo, hi = np.searchsorted(key, mine), np.searchsorted(key, mine, side="right")
                 hit = np.flatnonzero(hi > lo)
                 pairs.append(np.repeat(hit, (hi - lo)[hit]) * len(ids) + order[spans(lo[hit], (hi - lo)[hit])])
