@@ -15,9 +15,9 @@ Reading sends each part the chunks that it needs once, so a chunk that a third
 of all documents share moves once for each part, and checks every digest and
 root.
 
-A word's ids don't depend on its neighbours beyond white space (the tokenizer
-normalises and splits within words), so each different word of a batch is
-encoded once.
+A word's ids don't depend on its neighbours beyond white space, nor letters and
+digits on marks that follow them (the tokenizer normalises and splits within
+both), nor on ASCII case, so each different word of a batch is encoded once.
 
 Defined results: null and empty texts have the end id alone; null ids come
 first, repeated rows are documents of their own, in an order that their
@@ -36,11 +36,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Scratch, documents, map_arrow, texts
 from .ranking import ranked
-from .words import U64, Words, mix, runs, spans, word_blocks
+from .words import PLAIN, U64, Words, blocks, mix, runs, spans
 
 REACH, LEAST, MOST, MEAN = 16, 64, 2048, 256
 PART = 1 << 21
 CACHE = 1 << 20
+_STOPS = np.zeros(256, dtype=bool)
+_STOPS[list(b".,;:!?")] = True
+_ASCII = ~PLAIN
+_ASCII[128:] = False
 
 
 def digest(data: bytes) -> bytes:
@@ -103,7 +107,8 @@ class Encoder:
 
     def encode(self, words: Words, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of document after document, each with the end id; bounds)."""
-        hashes, at, row = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        fold = b"<|" not in words.data.tobytes()  # special tokens are the one thing that case changes
+        hashes, at, row = np.unique(words.hashes(fold=fold), return_index=True, return_inverse=True)
         if len(self.hashes) > CACHE:
             self._clear()
         new = ~np.isin(hashes, self.hashes, assume_unique=True)
@@ -154,8 +159,8 @@ def write_store(docs: DataFrame, place: str, tokenizer_path: str, end: int = 1,
         kind = "<u4" if encoder.wide or end >= 1 << 16 else "<u2"
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for lo, hi, words in word_blocks(batch.column("text")):
-                ids, bounds = encoder.encode(words, end)
+            for lo, hi, data, edges in blocks(batch.column("text")):
+                ids, bounds = encoder.encode(Words(data, edges, cut=(_ASCII, _STOPS)), end)
                 raw, width = ids.astype(kind).tobytes(), int(kind[-1])
                 chunks, roots = [], []
                 for d, ends in enumerate(cuts(ids, bounds)):

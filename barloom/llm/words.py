@@ -61,7 +61,7 @@ class Words:
     ``first``: for document d its words are ``first[d]:first[d + 1]``.
     """
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE, cut: tuple[np.ndarray, np.ndarray] | None = None):
         self.data, self.bounds = data, bounds
         word = ~space[data]
         opens = word.copy()
@@ -69,6 +69,8 @@ class Words:
         inner = bounds[:-1]
         inner = inner[inner < len(data)]
         opens[inner] = word[inner]
+        if cut is not None:  # a word also begins at a byte of the second set after one of the first
+            opens[1:] |= cut[0][data[:-1]] & cut[1][data[1:]]
         self.start = np.flatnonzero(opens)
         # A word ends at the next space or at its document's end, whichever is first.
         closes = np.empty(len(data), dtype=bool)
