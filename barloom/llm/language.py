@@ -66,7 +66,7 @@ class Model:
         _, at, row = np.unique(words.hashes(fold=True), return_index=True, return_inverse=True)
         bucket, owner = subword.grams(words, at, len(self.table), (2, 3, 4))
         n = np.maximum(np.bincount(owner, minlength=len(at)), 1)
-        score = np.stack([np.bincount(owner, self.table[bucket, k], minlength=len(at)) for k in range(len(self.langs))], axis=1)
+        score = np.stack([np.bincount(owner, self.table[bucket, k], minlength=len(at)) for k in range(len(self.langs))], axis=1).astype(np.float64)
         score *= (np.sqrt(n) / n)[:, None]  # n-grams of a word overlap
         used = scripts(words, at)
         score[used == 0] = 0
@@ -197,7 +197,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, id_col: str
                     for d in range(n):
                         own = label[words.first[d] : words.first[d + 1]]
                         cut = np.flatnonzero(np.diff(own, prepend=-1))
-                        rows.append([{"first": int(a), "n": int(b - a), "lang": names[own[a]] if k else "und"} for a, b in zip(cut, [*cut[1:], len(own)], strict=True)])
+                        rows.append([{"first": int(a), "n": int(b - a), "lang": names[own[a]] if k else "und"} for a, b in zip(cut, np.append(cut[1:], len(own))[: len(cut)], strict=True)])
                     out.append(pa.array(rows, kind))
                 yield pa.record_batch(out, names=["doc_id", "lang_pred", "score", *(["spans"] if spans else [])])
 

@@ -49,7 +49,7 @@ def word_scores(words: Words, table: np.ndarray, sizes: tuple[int, ...] = SIZES)
     """(scores of the distinct words, a row each; each word's row)."""
     _, at, row = np.unique(words.hashes(fold=True), return_index=True, return_inverse=True)
     bucket, owner = grams(words, at, len(table), sizes)
-    out = np.stack([np.bincount(owner, table[bucket, k], minlength=len(at)) for k in range(table.shape[1])], axis=1)
+    out = np.stack([np.bincount(owner, table[bucket, k], minlength=len(at)) for k in range(table.shape[1])], axis=1).astype(np.float64)
     return out, row
 
 
