@@ -1,22 +1,25 @@
 """Operator 3: document fingerprints by I-Match over randomised lexicons, in DataFrame operations only.
 
 The lexicon holds the words (folded, split at white space) whose inverse
-document frequency ln(N / df) lies in a band.  Each of ``LEXICONS`` random
-lexicons keeps a share of it, by a hash of the word; shares fall by powers of
-two from 1/4, so that texts of every length have lexicons of which they hold a
-few words.  A fingerprint's part is the hash of the sorted distinct words that
-the text shares with one lexicon, empty if none; likeness of two fingerprints
-is the share of equal parts among those that either fills.
-
-Frequencies cover all documents.  The lexicon is broadcast only if it has at
-most ``BOUND`` entries, else joined by shuffle.
+document frequency ln(N / df) lies in a band.  ``FAMILIES`` random lexicons
+keep a quarter of it each, by a hash of the word, and each of them is halved
+``LEVELS - 1`` times, so that texts of every length have lexicons of which they
+hold a few words.  A fingerprint's part is the hash of the sorted distinct
+words that the text shares with one lexicon, empty if none; likeness of two
+fingerprints is the share of equal parts among those that either fills.
+
+Frequencies cover all documents.  A word in the band is in at least N / e^7
+documents, so the lexicon is bounded by the mean number of distinct words times
+e^7, whatever N is.  Up to ``BOUND`` words it goes into the plan as a table of
+hash slots, and a text is then looked up within its own row; beyond that, words
+are joined with it by shuffle.
 
 Defined results: null and empty texts, and others without a word of the
 lexicon, take the hash of all their words as their one part, so that equal
-texts have equal fingerprints; rows that agree in id and text share one
-result; null ids count as rows of an id of their own; a table of one document
-has itself as the next; an empty table gives an empty result; other columns
-are ignored.
+texts have equal fingerprints; rows that agree in id and text get equal
+results; null ids (and -2^63, which is shown as null) count as rows of an id of
+their own; a table of one document has itself as the next; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +31,12 @@ from .ranking import ranked
 
 #: ln(N / df) from and to which a word belongs to the lexicon.
 BAND = (2.0, 7.0)
-LEXICONS = 64
-RATES = 8
-BOUND = 1 << 19
+FAMILIES = 8
+LEVELS = 8
+#: Words of a lexicon that is looked up within the row: 2.7 MB as text.
+BOUND = 1 << 17
+SLOTS = 1 << 15
+NO_ID = -(2**63)
 
 
 def words_of(text: Column) -> Column:
@@ -39,65 +45,104 @@ def words_of(text: Column) -> Column:
 
 
 def lexicon(rows: DataFrame, scratch: Scratch, band: tuple[float, float] = BAND) -> DataFrame:
-    """(word, part) for each word of the band and each random lexicon that keeps it; written once."""
+    """The words of the band, once each; written once."""
     total = rows.count()
     counts = rows.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(max(total, 1))) / F.col("df"))
-    # A small table's rarest words have an idf below the band's end; they count all the same.
-    inside = counts.where((idf >= band[0]) & (idf <= band[1])).select("word")
-    picks = F.array(*(F.when(F.pmod(F.xxhash64("word", F.lit(k)), F.lit(4 << k % RATES)) == 0, F.lit(k)) for k in range(LEXICONS)))
-    return scratch.keep(inside.select("word", F.explode(F.array_compact(picks)).alias("part")), "lexicon")
-
-
-def fingerprints(rows: DataFrame, keys: list[str], lex: DataFrame) -> DataFrame:
-    """``keys`` and ``fingerprint`` of each row of ``rows`` (keys, text); keys are unique."""
-    near = F.broadcast(lex) if lex.count() <= BOUND else lex
-    words = rows.select(*keys, F.explode(words_of(F.col("text"))).alias("word"))
-    held = words.join(near, "word").groupBy(*keys, "part").agg(F.xxhash64(F.sort_array(F.collect_list("word"))).alias("value"))
-    parts = held.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("part", "value"))).alias("m"))
-    whole = rows.select(*keys, F.xxhash64(F.sort_array(words_of(F.col("text")))).alias("whole"))
-    given = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    parts = parts.select(*(F.col(k).alias(f"__{k}") for k in keys), "m")
-    match = given[0]
-    for one in given[1:]:
-        match = match & one
-    text = lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))
-    shown = F.array_join(F.array(*(F.coalesce(text(F.col("m")[k]), F.lit("")) for k in range(LEXICONS))), "-")
-    alone = F.concat(F.lit("="), text(F.col("whole")))
-    return whole.join(parts, match, "left").select(*keys, F.when(F.col("m").isNull(), alone).otherwise(shown).alias("fingerprint"))
+    return scratch.keep(counts.where((idf >= band[0]) & (idf <= band[1])).select("word"), "lexicon")
+
+
+def slot_table(lex: DataFrame) -> Column:
+    """The lexicon as a constant array of ``SLOTS`` arrays of words, folded when the plan is made."""
+    every = lex.sparkSession.range(SLOTS).select("id", F.lit(None).cast("long").alias("word"))
+    slots = every.unionByName(lex.select(F.pmod("word", F.lit(SLOTS)).alias("id"), "word")).groupBy("id").agg(F.collect_list("word").alias("words"))
+    row = slots.agg(F.sort_array(F.collect_list(F.struct("id", "words"))).alias("all")).select(F.to_json(F.transform("all", lambda s: s["words"])).alias("json"))
+    return F.from_json(F.lit(row.first()["json"]), "array<array<bigint>>")
+
+
+def low_half(words: Column) -> Column:
+    """The low 32 bits of the hash of an array of words."""
+    return F.shiftright(F.shiftleft(F.xxhash64(words), 32), 32).cast("int")
+
+
+class Printer:
+    """Adds fingerprint columns by one lexicon."""
+
+    def __init__(self, lex: DataFrame, bound: int = BOUND):
+        self.lex = lex
+        self.table = slot_table(lex) if lex.count() <= bound else None
+
+    def _terms(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """``__terms``: the sorted words of ``__words`` that the lexicon holds."""
+        if self.table is not None:
+            held = F.filter("__words", lambda w: F.array_contains(self.table[F.pmod(w, F.lit(SLOTS)).cast("int")], w))
+            return df.withColumn("__terms", F.sort_array(held))
+        names = [f"__key{k}" for k in range(len(keys))]
+        words = df.select(*(F.col(c).alias(n) for c, n in zip(keys, names)), F.explode("__words").alias("word"))
+        found = words.join(self.lex, "word").groupBy(*names).agg(F.sort_array(F.collect_set("word")).alias("__found"))
+        match = F.lit(True)
+        for c, n in zip(keys, names):
+            match = match & (F.col(c) == F.col(n))
+        return df.join(found, match, "left").withColumn("__terms", F.coalesce("__found", F.array().cast("array<bigint>"))).drop("__found", *names)
+
+    def add(self, df: DataFrame, out: str, text: str, keys: list[str]) -> DataFrame:
+        """``out``: the parts, array<int>, of ``text``; ``keys`` are not null and settle the text."""
+        df = self._terms(df.withColumn("__words", words_of(F.col(text))), keys)
+        quarter = lambda g: F.filter("__terms", lambda w: F.pmod(F.xxhash64(w, F.lit(g)), F.lit(4)) == 0)
+        kept = [quarter(g) for g in range(FAMILIES)]
+        df = df.withColumn("__level0", F.array(*kept))
+        for k in range(1, LEVELS):  # a step each, so that no level is computed twice
+            half = lambda words, g: F.filter(words, lambda w: F.pmod(F.xxhash64(w, F.lit(FAMILIES + k), g), F.lit(2)) == 0)  # noqa: E731, B023
+            df = df.withColumn(f"__level{k}", F.transform(f"__level{k - 1}", half))
+        levels = [f"__level{k}" for k in range(LEVELS)]
+        part = lambda words: F.when(F.size(words) == 0, 0).otherwise(low_half(words))
+        parts = F.concat(*(F.transform(c, part) for c in levels))
+        # Families are a quarter each: a text may hold words of the lexicon and yet fill no part.
+        alone = F.array(low_half(F.sort_array("__words")))
+        filled = F.exists("__level0", lambda words: F.size(words) > 0)
+        return df.withColumn(out, F.when(filled, parts).otherwise(alone)).drop("__words", "__terms", *levels)
+
+
+def shown(parts: str) -> Column:
+    """A fingerprint as text: parts of eight hexadecimal digits or none, joined by hyphens."""
+    digits = lambda p: F.lower(F.lpad(F.hex(p.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    return F.array_join(F.transform(parts, lambda p: F.when(p == 0, "").otherwise(digits(p))), "-")
 
 
 def likeness(a: str, b: str) -> Column:
     """Share of equal parts among those that either of two fingerprints fills, 0 to 1."""
-    both = F.zip_with(F.split(F.col(a), "-"), F.split(F.col(b), "-"), lambda x, y: F.when((F.coalesce(x, F.lit("")) == "") & (F.coalesce(y, F.lit("")) == ""), None).otherwise((F.coalesce(x, F.lit("")) == F.coalesce(y, F.lit(""))).cast("int")))
-    kept = F.array_compact(both)
-    return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.aggregate(kept, F.lit(0), lambda s, x: s + x) / F.greatest(F.size(kept), F.lit(1))).cast("double")
+    both = F.filter(F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y")), lambda p: (F.coalesce(p["x"], F.lit(0)) != 0) | (F.coalesce(p["y"], F.lit(0)) != 0))
+    equal = F.filter(both, lambda p: p["x"].eqNullSafe(p["y"]))
+    return F.when(F.col(a) == F.col(b), 1.0).when(F.size(a) != F.size(b), 0.0).otherwise(F.size(equal) / F.greatest(F.size(both), F.lit(1))).cast("double")
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and of its edited text; both counted against the lexicon of the given texts."""
+    """Fingerprints of every text and of its edited text; both counted against the lexicon of the given texts.
+
+    Texts are dealt by (id, hash) once, and that exchange serves both joins:
+    the one that takes the next document's first characters and parts, and the
+    one that brings them to the document before.
+    """
     scratch = Scratch(spark, "imatch")
-    rows = texts(documents(spark, sf_dir), "doc_id", "text").withColumn("h", F.xxhash64("text"))
-    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
-    lex = lexicon(rows.select("text"), scratch)
+    rows = texts(documents(spark, sf_dir), "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "text")
+    printer = Printer(lexicon(rows.select("text"), scratch))
 
-    meta = rows.groupBy("id", "h").agg(F.first("doc_id").alias("doc_id"), F.first(F.length("text").cast("long")).alias("n_chars"), F.count("*").alias("copies"))
+    meta = rows.select("id", "h", F.length("text").cast("long").alias("n_chars")).distinct()
     meta = scratch.keep(ranked(meta, ["id", "h"], scratch, "order"), "ranked")
     total = meta.count()
-    follow = meta.select(F.expr(f"CASE WHEN rank = 0 THEN {total} - 1 ELSE rank - 1 END").alias("rank"), F.col("id").alias("next_id"), F.col("h").alias("next_h"))
-    order = scratch.keep(meta.join(follow, "rank"), "next")
-    # One row of each (id, h) speaks for its copies.
-    one = rows.dropDuplicates(["id", "h"]).select("id", "h", "text")
-    need = order.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("of_id"), F.col("h").alias("of_h"), F.floor(F.col("n_chars") / 4).alias("cut"))
-    heads = one.join(need, ["id", "h"]).select(F.col("of_id").alias("id"), F.col("of_h").alias("h"), "cut", F.expr("substring(text, 1, int(cut))").alias("head"))
-    edited = one.join(heads, ["id", "h"]).select("id", "h", "text", F.concat(F.expr("substring(text, 1, length(text) - int(cut))"), "head").alias("edited"))
-    both = edited.select("id", "h", F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))))
-    prints = fingerprints(both, ["id", "h", "which"], lex)
-    prints = prints.groupBy("id", "h").agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    prints = scratch.keep(prints, "prints")
-    sums = edited.select("id", "h", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
-    ahead = prints.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
-    out = order.join(sums, ["id", "h"]).join(prints, ["id", "h"]).join(ahead, ["next_id", "next_h"])
-    out = out.withColumns({"near_edited": likeness("fingerprint", "edited_fingerprint"), "near_next": likeness("fingerprint", "next_fingerprint")})
-    out = out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    before = meta.select(F.expr(f"CASE WHEN rank = {total} - 1 THEN 0 ELSE rank + 1 END").alias("rank"), F.col("id").alias("of_id"), F.col("h").alias("of_h"), F.floor(F.col("n_chars") / 4).alias("cut"))
+    need = scratch.keep(meta.select("id", "h", "rank").join(before, "rank").drop("rank"), "need")
+
+    ahead = printer.add(rows.join(need, ["id", "h"]), "next_parts", "text", ["id", "h"])
+    ahead = ahead.select(F.col("of_id").alias("id"), F.col("of_h").alias("h"), "cut", "next_parts", F.expr("substring(text, 1, int(cut))").alias("head")).dropDuplicates(["id", "h"])
+    both = rows.join(ahead, ["id", "h"]).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - int(cut))"), "head"))
+    both = printer.add(printer.add(both, "parts", "text", ["id", "h"]), "edited_parts", "edited", ["id", "h"])
+    return both.select(
+        F.nullif("id", F.lit(NO_ID)).alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        shown("parts").alias("fingerprint"),
+        shown("edited_parts").alias("edited_fingerprint"),
+        likeness("parts", "edited_parts").alias("near_edited"),
+        likeness("parts", "next_parts").alias("near_next"),
+    )

@@ -1,11 +1,17 @@
 """Small inputs with nulls, empty texts, repeats, clashing names and empty tables, against brute force where there is one."""
 
+import collections
+import functools
 import hashlib
+import math
 import random
+import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from barloom.llm import decontamination, fingerprint, language, mixing, sharding, token_counts, token_store, toxicity
 from barloom.llm.common import Scratch
@@ -105,19 +111,67 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(frame(spark, []), bench).count() == 0
 
 
+def brute_parts(texts):
+    """Parts of a fingerprint by plain Python, by the lexicon of ``texts``."""
+    signed = lambda n: (n + (1 << 63)) % (1 << 64) - (1 << 63)
+    step = lambda n, seed=42: xxhash.xxh64_intdigest(struct.pack("<q", signed(n)), seed)
+    words = lambda t: {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[\x20\x09-\x0d]+", t.lower()) if w}
+    df = collections.Counter(w for t in texts for w in words(t))
+    low, high = fingerprint.BAND
+    lex = {w for w, n in df.items() if low <= math.log(len(texts) / n) <= high}
+    salted = lambda w, *salts: functools.reduce(lambda seed, s: xxhash.xxh64_intdigest(struct.pack("<i", s), seed), salts, step(w))
+
+    def one(t):
+        families = [sorted(w for w in words(t) & lex if signed(salted(w, g)) % 4 == 0) for g in range(fingerprint.FAMILIES)]
+        if not any(families):
+            return None
+        out = []
+        for k in range(fingerprint.LEVELS):
+            if k:
+                families = [[w for w in f if salted(w, fingerprint.FAMILIES + k, g) % 2 == 0] for g, f in enumerate(families)]
+            for f in families:
+                out.append(f"{functools.reduce(lambda seed, w: step(w, seed), f, 42) & 0xFFFFFFFF:08x}" if f else "")
+        return "-".join(out)
+
+    return one
+
+
 def test_fingerprints(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in fingerprint.op3_fingerprint(spark, SF).collect()}
     rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    one = brute_parts([t for _, t in rows])
+    known, plain = 0, {}
     for k, (d, t) in enumerate(rows):
-        cut, after = len(t) // 4, rows[(k + 1) % len(rows)][1]
-        assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()
-    same = {}
-    for d, t in rows:
-        assert same.setdefault(t, got[d].fingerprint) == got[d].fingerprint
+        cut, after = len(t) // 4, rows[(k + 1) % len(rows)]
+        edited = t[: len(t) - cut] + after[1][:cut]
+        assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        want, want_edited, want_next = one(t), one(edited), one(after[1])
+        if want is None:
+            assert len(got[d].fingerprint) == 8 and plain.setdefault(t, got[d].fingerprint) == got[d].fingerprint
+            continue
+        known += 1
+        assert got[d].fingerprint == want
+        for other, near in ((want_edited, got[d].near_edited), (want_next, got[d].near_next)):
+            pairs = [(x, y) for x, y in zip(want.split("-"), other.split("-")) if x or y] if other else []
+            assert near == pytest.approx(sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0)
+    assert known > len(rows) / 2
     assert sum(r.near_edited for r in got.values()) > sum(r.near_next for r in got.values())
 
 
+def test_fingerprints_of_odd_rows_and_a_large_lexicon(spark, tmp_path):
+    frame(spark, ODD).write.parquet(str(tmp_path / "documents.parquet"))
+    got = fingerprint.op3_fingerprint(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in got if r.doc_id) == sorted((d, len(t or "")) for d, t, _ in ODD if d)
+    assert len(got) == len(ODD) and all(r.near_edited == r.near_next == 1 for r in got if r.doc_id == 1)
+    frame(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert fingerprint.op3_fingerprint(spark, str(tmp_path / "none")).count() == 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id AS id", "coalesce(text, '') AS text")
+    lex = fingerprint.lexicon(docs.select("text"), Scratch(spark, "test"))
+    within, joined = ({(r.id, r.shown) for r in fingerprint.Printer(lex, bound).add(docs, "parts", "text", ["id"]).select("id", fingerprint.shown("parts").alias("shown")).collect()} for bound in (fingerprint.BOUND, 0))
+    assert within == joined and len(within) == docs.count()
+
+
 def test_language_and_toxicity(spark):
     docs = frame(spark, ODD)
     known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
