@@ -14,7 +14,7 @@ e^7, whatever N is.  Up to ``BOUND`` words it goes into the plan as a table of
 hash slots, and a text is then looked up within its own row; beyond that, words
 are joined with it by shuffle.
 
-Defined results: null and empty texts, and others without a word of the
+Defined results: null and empty texts, and others without a word of any random
 lexicon, take the hash of all their words as their one part, so that equal
 texts have equal fingerprints; rows that agree in id and text get equal
 results; null ids (and -2^63, which is shown as null) count as rows of an id of
