@@ -11,6 +11,11 @@ of the item's n words.
    Koucky 2016): few edits become a small Hamming distance.  Repetitions
    sample some places of the embedding; equal samples make a candidate.
 3. Candidates are verified by exact edit distance with free ends in the text.
+4. Samples can miss: each indel shifts the walk.  k edits leave at least
+   n - q + 1 - k q of the item's runs of q words, on diagonals (place in the
+   text less place in the item) at most k apart, so wherever a text shares so
+   many, it is verified as well, unless the item was found there unedited.
+   Nothing is left to chance: what is found, its edits and its place are exact.
 
 No shuffle: items go to the tasks in blocks of at most ``BLOCK`` items, one
 narrow pass each.
@@ -61,9 +66,10 @@ def walk_keys(rows: np.ndarray, samples: int = SAMPLES, repeats: int = REPEATS)
     return key
 
 
-def best_edits(item: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Least edit distance of each row of ``item`` to any passage of the same row of ``text``."""
+def best_edits(item: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least edit distance of each row of ``item`` to any passage of the same row of ``text``, and where the first such passage begins."""
     m, width = text.shape
+    item, text = item[:, ::-1], text[:, ::-1]  # from the end, so that the last costs are those of each beginning
     cost = np.zeros((m, width + 1), np.int32)
     slope = np.arange(width + 1, dtype=np.int32)
     for i in range(item.shape[1]):
@@ -71,7 +77,8 @@ def best_edits(item: np.ndarray, text: np.ndarray) -> np.ndarray:
         step[:, 0] = i + 1
         step[:, 1:] = np.minimum(cost[:, :-1] + (text != item[:, i : i + 1]), cost[:, 1:] + 1)
         cost = np.minimum.accumulate(step - slope, axis=1) + slope
-    return cost.min(axis=1)
+    cost = cost[:, ::-1]
+    return cost.min(axis=1), cost.argmin(axis=1)
 
 
 class Items:
@@ -92,7 +99,7 @@ class Items:
         self.q = sorted({g[2] for g in self.groups})
         self.seeds = {}
         for q in self.q:
-            seed, size, offset = [], [], []
+            seed, size, offset, row = [], [], [], []
             for n, _, own_q, own, rows in self.groups:
                 if own_q == q:
                     flat = runs(rows.ravel(), q, 31).reshape(-1) if rows.size >= q else np.zeros(0, np.uint64)
@@ -100,12 +107,13 @@ class Items:
                     seed.append(flat[at])
                     size.append(np.full(len(at), n))
                     offset.append(np.tile(np.arange(n - q + 1), len(own)))
-            seed, size, offset = map(np.concatenate, (seed, size, offset))
+                    row.append(np.repeat(np.arange(len(own)), n - q + 1))
+            seed, size, offset, row = map(np.concatenate, (seed, size, offset, row))
             order = np.argsort(seed, kind="stable")
             seed = seed[order]
             maybe = np.zeros(1 << 20, dtype=bool)
             maybe[(seed >> U64(44)).astype(np.int64)] = True
-            self.seeds[q] = seed, size[order], offset[order], maybe
+            self.seeds[q] = seed, size[order], offset[order], row[order], maybe
         self.keys = {}
         for n, _, _, _, rows in self.groups:
             for r, key in enumerate(walk_keys(rows)):
@@ -119,45 +127,68 @@ class Items:
             return none
         hashes = words.hashes(fold=True)
         doc_of = lambda at: np.searchsorted(words.first, at, side="right") - 1
-        starts, sizes = [], []
-        for q, (seed, size, offset, maybe) in self.seeds.items():
+        docs, sizes, rows_of, diagonals = [], [], [], []
+        for q, (seed, size, offset, row, maybe) in self.seeds.items():
             own = runs(hashes, q, 31)
             at = np.flatnonzero(maybe[(own >> U64(44)).astype(np.int64)])
-            at = at[at + q <= words.first[doc_of(at) + 1]]
+            doc = doc_of(at)
+            inside = at + q <= words.first[doc + 1]
+            at, doc = at[inside], doc[inside]
             lo, hi = np.searchsorted(seed, own[at]), np.searchsorted(seed, own[at], side="right")
             hit = hi > lo
-            at, lo, hi = at[hit], lo[hit], hi[hit]
-            place, entry = np.repeat(at, hi - lo), spans(lo, hi - lo)
-            first, end = words.first[doc_of(place)], words.first[doc_of(place) + 1]
-            for d in (-1, 0, 1):
-                starts.append(np.clip(place - offset[entry] + d, first, np.maximum(end - 1, first)))
-                sizes.append(size[entry])
-        start, size = np.concatenate(starts), np.concatenate(sizes)
+            at, doc, lo, hi = at[hit], doc[hit], lo[hit], hi[hit]
+            entry = spans(lo, hi - lo)
+            docs.append(np.repeat(doc, hi - lo))
+            sizes.append(size[entry])
+            rows_of.append(row[entry])
+            diagonals.append(np.repeat(at, hi - lo) - offset[entry])
+        doc, size, row, diagonal = map(np.concatenate, (docs, sizes, rows_of, diagonals))
         out = []
-        for n, k, _, ids, rows in self.groups:
-            own = np.unique(start[size == n])
-            if not len(own):
+        for n, k, q, ids, rows in self.groups:
+            mine = np.flatnonzero(size == n)
+            if not len(mine):
                 continue
-            end = words.first[doc_of(own) + 1]
-            cells = own[:, None] + np.arange(n)
+            pair, place = doc[mine] * len(ids) + row[mine], diagonal[mine]
+            first, end = words.first[doc[mine]], words.first[doc[mine] + 1]
+            start = np.unique(np.concatenate([np.clip(place + d, first, end - 1) for d in (-1, 0, 1)]))
+
+            def verify(at, of, item, more):
+                """Keeps those of the items ``item`` of documents ``of`` with a passage from about ``at`` to ``more`` words later."""
+                for c in range(0, len(at), 1 << 14):
+                    a, d, i = (x[c : c + (1 << 14)] for x in (at, of, item))
+                    first, end = words.first[d][:, None], words.first[d + 1][:, None]
+                    cells = a[:, None] - k + np.arange(n + 2 * k + more)
+                    inside = (cells >= first) & (cells < end)
+                    text = np.where(inside, hashes[np.clip(cells, 0, len(hashes) - 1)], PAD)
+                    edits, begin = best_edits(rows[i], text)
+                    good = edits <= k
+                    yield d[good], i[good], np.maximum(a - k + begin - first[:, 0], 0)[good], edits[good]
+
+            end = words.first[doc_of(start) + 1]
+            cells = start[:, None] + np.arange(n)
             window = np.where(cells < end[:, None], hashes[np.minimum(cells, len(hashes) - 1)], PAD)
             pairs = []
-            for r, mine in enumerate(walk_keys(window)):
+            for r, own in enumerate(walk_keys(window)):
                 key, order = self.keys[n, r]
-                lo, hi = np.searchsorted(key, mine), np.searchsorted(key, mine, side="right")
+                lo, hi = np.searchsorted(key, own), np.searchsorted(key, own, side="right")
                 hit = np.flatnonzero(hi > lo)
                 pairs.append(np.repeat(hit, (hi - lo)[hit]) * len(ids) + order[spans(lo[hit], (hi - lo)[hit])])
-            pair = np.unique(np.concatenate(pairs))
-            at, item = own[pair // len(ids)], pair % len(ids)
-            for c in range(0, len(at), 1 << 14):
-                a, i = at[c : c + (1 << 14)], item[c : c + (1 << 14)]
-                first, end = words.first[doc_of(a)], words.first[doc_of(a) + 1]
-                cells = a[:, None] - k + np.arange(n + 2 * k)
-                inside = (cells >= first[:, None]) & (cells < end[:, None])
-                text = np.where(inside, hashes[np.clip(cells, 0, len(hashes) - 1)], PAD)
-                edits = best_edits(rows[i], text)
-                good = edits <= k
-                out.append((doc_of(a[good]), ids[i[good]], (a - first)[good], edits[good]))
+            alike = np.unique(np.concatenate(pairs))
+            at = start[alike // len(ids)]
+            found = list(verify(at, doc_of(at), alike % len(ids), 0))
+            whole = [d[edits == 0] * len(ids) + i[edits == 0] for d, i, _, edits in found]
+
+            order = np.lexsort((place, pair))
+            pair, place = pair[order], place[order]
+            least = max(n - q + 1 - k * q, 1)
+            last = np.arange(least - 1, len(pair))
+            near = (pair[last] == pair[last - least + 1]) & (place[last] - place[last - least + 1] <= k)
+            pair, place = pair[: len(near)][near], place[: len(near)][near]
+            left = ~np.isin(pair, np.concatenate(whole)) if whole else slice(None)
+            # Places go to blocks of k + 1, so that a passage is verified once or twice.
+            spot = np.unique(np.stack((pair[left], place[left] // (k + 1))), axis=1)
+            found += verify(spot[1] * (k + 1), spot[0] // len(ids), spot[0] % len(ids), k)
+            out += [(d, ids[i], at, edits) for d, i, at, edits in found]
         if not out:
             return none
         doc, item, at, edits = (np.concatenate(x) for x in zip(*out, strict=True))

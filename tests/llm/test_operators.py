@@ -111,6 +111,42 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(frame(spark, []), bench).count() == 0
 
 
+def least_edits(item, text):
+    """(edits, first word) of the first of the passages of ``text`` nearest to ``item``, by plain dynamic programming."""
+    cost = [(0, j) for j in range(len(text) + 1)]
+    for i, w in enumerate(item):
+        step = [(i + 1, 0)]
+        for j, t in enumerate(text):
+            step.append(min((cost[j][0] + (w != t), cost[j][1]), (cost[j + 1][0] + 1, cost[j + 1][1]), (step[j][0] + 1, step[j][1])))
+        cost = step
+    return min(cost)
+
+
+def test_decontamination_finds_every_passage_within_its_edits(spark):
+    rng = random.Random(11)
+    for n in (1, 2, 5, 6, 15, 59, 100):
+        k, items, rows, want = int(0.2 * n), [], [], set()
+        for kind in ("delete", "insert", "replace", "any") * 5:
+            own = [f"w{rng.randrange(4000)}" for _ in range(n)]
+            items.append((len(items), " ".join(own)))
+            for _ in range(k + (len(items) % 5 == 0)):  # some of one edit too many
+                how, at = kind if kind != "any" else rng.choice(["delete", "insert", "replace"]), rng.randrange(len(own))
+                own[at : at + (how != "insert")] = [] if how == "delete" else [f"z{rng.random()}".replace(".", "")]
+            around = [f"x{rng.randrange(10**9)}" for _ in range(rng.randrange(12))]
+            rows.append((len(rows), " ".join(around + own + around), "a"))
+        for d, t, _ in rows:
+            for i, own in items:
+                edits, _ = least_edits(own.split(), t.split())
+                if edits <= k:
+                    want.add((d, i, edits))
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = decontamination.find_leaks(frame(spark, rows), bench).collect()
+        assert {(r.doc_id, r.item_id, r.edits) for r in got} == want and len(got) == len(want) >= 16
+        for r in got:
+            text, own = rows[r.doc_id][1].split(), items[r.item_id][1].split()
+            assert least_edits(own, text[r.at :])[0] == r.edits and (least_edits(own, text[r.at + 1 :])[0] > r.edits or r.edits)
+
+
 def brute_parts(texts):
     """Parts of a fingerprint by plain Python, by the lexicon of ``texts``."""
     signed = lambda n: (n + (1 << 63)) % (1 << 64) - (1 << 63)
