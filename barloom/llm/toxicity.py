@@ -7,9 +7,10 @@ n-grams, and so embeddings, with words that were learned.
 Defined results: a null or empty text has the score of the biases alone; a
 null id is scored like any other and is never learned from; repeated rows are
 scored alike; labels other than 0 and 1 or null teach nothing; without any
-label the score is 0.5 times nothing learned, that is 0.5 for every text; an
-empty table gives an empty result; other columns are ignored or, by
-``drop_toxic``, passed through.
+label the score is 0.5 times nothing learned, that is 0.5 for every text; with
+no text of a label, or toxic ones only, nothing tells texts apart: all have the
+score of the biases and ``drop_toxic`` keeps every row; an empty table gives an
+empty result; other columns are ignored or, by ``drop_toxic``, passed through.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "doc
     own = known.where("label = 1").orderBy(order).limit(most).unionByName(known.where("label = 0").orderBy(order).limit(most))
     found = subword.bags(texts(docs, id_col, text_col).join(F.broadcast(own), "doc_id"))
     table, bias = subword.train(found, 2, epochs=EPOCHS, balance=True)
+    if all(label == 1 for label, _, _ in found):
+        table = np.zeros_like(table)
     if len(share) == 2:  # classes are sampled alike, so the biases carry the shares among all labelled rows
         bias = bias + np.log([share[0], share[1]])
     return table, bias
@@ -80,7 +83,9 @@ def score_toxicity(docs: DataFrame, model, id_col: str = "doc_id", text_col: str
 
 
 def drop_toxic(docs: DataFrame, model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, with their own columns."""
+    """The rows of ``docs`` whose score is below ``threshold``, with their own columns; all rows if nothing was learned."""
+    if not model[0].any():
+        return docs
     if "score" in docs.columns:
         docs, held = docs.withColumnRenamed("score", "__score"), True
     else:

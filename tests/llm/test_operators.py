@@ -224,6 +224,15 @@ def test_language_and_toxicity(spark):
     assert language.identify(frame(spark, []), model).count() == 0 and toxicity.drop_toxic(frame(spark, []), toxic).count() == 0
 
 
+def test_nothing_learned_of_toxicity_drops_nothing(spark):
+    docs = frame(spark, ODD)
+    taught = lambda rows: toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
+    for rows in ([], [(4, 1, None), (None, 1, 1)], [(99, 0, 1)], [(4, 0, 1), (5, 0, 1)]):
+        kept = toxicity.drop_toxic(docs, taught(rows))
+        assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    assert toxicity.drop_toxic(docs, taught([(4, 0, 1), (5, 0, 0)])).count() < len(ODD)
+
+
 def test_mixing_reaches_its_targets(spark):
     known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = mixing.fit(known, mixing.languages(known, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")))
