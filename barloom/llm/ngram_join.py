@@ -21,9 +21,10 @@ component.  No pair of different components escapes, so no link that matters
 to a component is lost, and no cap is used.
 
 Defined results: a null, empty or blank text has an empty set, links with
-nothing and is a component of its own; rows that repeat an id pool their
-links under it; a null id links through its exact copies only, and its
-component is theirs or null; an empty table gives an empty result.
+nothing and is a component of its own; rows link by their texts, whatever
+their ids, so rows that repeat an id may be of different components and a text
+without an id links others; a component is named by its smallest id, null if no
+row of it has one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def _scan(rows: DataFrame, packed, cells: int, size: int, percent: int, orders:
                 cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
                 yield pa.record_batch(
                     [
-                        batch.column("doc_id").slice(lo, hi - lo),
+                        *(batch.column(c).slice(lo, hi - lo) for c in ("row", "doc_id", "t1", "t2")),
                         pa.array(_whole(hashes, words.first, 61).view(np.int64)),
                         pa.array(_whole(hashes, words.first, 62).view(np.int64)),
                         pa.array(n.astype(np.int64)),
@@ -130,12 +131,12 @@ def _scan(rows: DataFrame, packed, cells: int, size: int, percent: int, orders:
                         pa.ListArray.from_arrays(offsets, pa.array(cat(place, np.int32))),
                         pa.array(kept, pa.binary()),
                     ],
-                    names=["doc_id", "k1", "k2", "n", "tokens", "orders", "places", "shingles"],
+                    names=["row", "doc_id", "t1", "t2", "k1", "k2", "n", "tokens", "orders", "places", "shingles"],
                 )
 
         return work
 
-    return map_arrow(rows, "doc_id long, k1 long, k2 long, n long, tokens array<long>, orders array<byte>, places array<int>, shingles binary", make)
+    return map_arrow(rows, "row long, doc_id long, t1 long, t2 long, k1 long, k2 long, n long, tokens array<long>, orders array<byte>, places array<int>, shingles binary", make)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,24 +170,31 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return work
 
-    full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    full = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb")), "b")
     return map_arrow(full.select("a", "b", "sa", "sb"), "a long, b long", make)
 
 
-def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row."""
+def _text_keys(text_col: str) -> list:
+    """Two hashes of a text; null counts as empty."""
+    return [F.xxhash64(F.lit(k), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias(f"t{k}") for k in (1, 2)]
+
+
+def _components(docs: DataFrame, size: int = 5, percent: int = 75, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, t1, t2, n, best) for every row: ``best`` is the least (doc_id, t1, t2) of its component's rows with an id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     rows = texts(docs, id_col, text_col)
     cells = sketch.cells_for(docs.select(text_col), PER_BYTE)
     packed = spark.sparkContext.broadcast(sketch.build(rows, _sketch_keys(size), cells, 1))
-    scan = scratch.keep(_scan(rows, packed, cells, size, percent, orders), "scan")
-
-    reps = scan.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    posted = scan.where(F.col("shingles").isNotNull() & F.col("doc_id").isNotNull())
-    posted = posted.join(reps.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi")
-    sets = posted.select("doc_id", "shingles")
-    posts = posted.select(F.col("doc_id").alias("doc"), "n", F.inline(F.arrays_zip("orders", "tokens", "places"))).select(F.col("orders").alias("ord"), F.col("tokens").alias("token"), "doc", "n", F.col("places").alias("pos"))
+    # Rows are numbered where they are written, so a number is never null, nor dealt anew.
+    numbered = rows.select("doc_id", "text", *_text_keys("text")).withColumn("row", F.monotonically_increasing_id())
+    scan = scratch.keep(_scan(numbered, packed, cells, size, percent, orders), "scan")
+
+    best = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t1", "t2")))
+    reps = scan.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("rep"), best.alias("own"))
+    posted = scan.where(F.col("shingles").isNotNull()).join(reps.select(F.col("rep").alias("row")), "row", "left_semi")
+    sets = posted.select("row", "shingles")
+    posts = posted.select(F.col("row").alias("doc"), "n", F.inline(F.arrays_zip("orders", "tokens", "places"))).select(F.col("orders").alias("ord"), F.col("tokens").alias("token"), "doc", "n", F.col("places").alias("pos"))
     posts = scratch.keep(posts, "sent")
     shared = posts.groupBy("ord", "token").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     posts = scratch.keep(posts.join(shared.select("ord", "token"), ["ord", "token"], "left_semi"), "posts")
@@ -219,19 +227,29 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, orders:
     bridges = more.join(names("a"), "a", "left").join(names("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     tops = scratch.keep(components(bridges, scratch, "bridge"), "tops")
     labels = labels.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")).union(tops.join(labels, "node", "left_anti").select("node", "label"))
-    found = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
-    out = scan.select("doc_id", "k1", "k2", "n").join(found, ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "own", F.coalesce("label", "rep").alias("component"), F.col("label").isNotNull().alias("linked"))
+    least = found.where("linked").groupBy("component").agg(F.min("own").alias("least"))
+    found = found.join(least, "component", "left").select("k1", "k2", F.coalesce("least", "own").alias("best"))
+    return scan.select("doc_id", "t1", "t2", "k1", "k2", "n").join(found, ["k1", "k2"], "left").select("doc_id", "t1", "t2", "n", F.when(F.col("n") > 0, F.col("best")).alias("best"))
+
+
+def ngram_components(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row."""
+    out = _components(docs, **how)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document of each component, its smallest id; rows without an id stay."""
+    """``docs`` with one row of each component, that of its smallest id (of the least hash where an id repeats); rows without an id stay."""
     scratch = Scratch(docs.sparkSession, "kept")
-    found = ngram_components(docs, id_col=id_col, text_col=text_col, **how)
-    gone = scratch.keep(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone.withColumnRenamed("doc_id", id_col), id_col, "left_anti")
-    known = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return known.unionByName(kept.where(F.col(id_col).isNull()))
+    found = _components(docs, id_col=id_col, text_col=text_col, **how)
+    gone = found.where("doc_id IS NOT NULL AND best <> struct(doc_id, t1, t2)").select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
+    gone = scratch.keep(gone.distinct(), "gone")
+    keys = ["__id", "__t1", "__t2"]
+    keyed = docs.select("*", F.col(f"`{id_col}`").cast("long").alias("__id"), *(c.alias(k) for c, k in zip(_text_keys(text_col), keys[1:])))
+    kept = keyed.join(gone, keys, "left_anti")
+    known = kept.where("__id IS NOT NULL").dropDuplicates(keys)
+    return known.unionByName(kept.where("__id IS NULL")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,3 +48,16 @@ def test_null_ids_repeats_and_empty(spark):
     assert drop_near_copies(frame(spark, rows)).count() == 4
     assert ngram_components(frame(spark, [])).count() == 0
     assert drop_near_copies(frame(spark, [])).columns == ["doc_id", "text", "n", "component_id"]
+
+
+def test_rows_link_by_their_texts_whatever_their_ids(spark):
+    words = [f"v{k}" for k in range(60)]
+    near = lambda k: " ".join(words[k : k + 40])
+    rows = [(7, "a clean text of its own that none copies"), (7, "another one with nothing in common at all"), (7, near(0)), (5, near(3)), (6, near(3))]
+    rows += [(None, "p q r s t u v w"), (None, "p q r s t u v w"), (None, near(6)), (8, near(9))]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(frame(spark, rows)).collect()}
+    # 8 is linked with 5 by a text without an id only.
+    assert got == {(7, 5, 7), (7, 4, 7), (7, 36, 5), (5, 36, 5), (6, 36, 5), (None, 4, None), (None, 36, 5), (8, 36, 5)}
+    kept = drop_near_copies(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "n", "component_id"]
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id) == sorted([rows[0][:2], rows[1][:2], rows[3][:2]])
