@@ -6,9 +6,11 @@ expected tokens of each domain, sum of x_i t_i p_ik, match targets in least
 squares, by projected gradient: a step moves x_i by -p_i . g and clips it at
 ``floor``.  The gradient g has one number for each domain, so a document's
 rate follows from its posterior and the few g so far; each step is one
-distributed sum and nothing of a document's size reaches the driver.
+distributed sum and nothing of a document's size reaches the driver.  What is
+still missed after the last step is in ``Mix.miss``, with a warning if it is
+more than ``TOLERANCE`` of all targets.
 
-Without targets, the domains' token shares are raised to ``power`` and scaled
+``floor`` is 0 where targets are given and 1 otherwise.  Without targets, the domains' token shares are raised to ``power`` and scaled
 so that no domain needs fewer tokens than it has; with ``floor`` 1 every
 document then stays and scarce domains repeat.
 
@@ -20,6 +22,7 @@ is 1; other columns pass through ``mix``.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +44,8 @@ class Mix:
         self.domains, self.table, self.bias = domains, table, bias
         self.base, self.floor, self.path = 1.0, 0.0, []
         self.targets = self.reached = np.zeros(len(domains))
+        #: Tokens reached less tokens wanted, by domain, of targets that are not met.
+        self.miss: dict[str, float] = {}
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         x = np.full(len(p), max(self.base, self.floor))
@@ -68,12 +73,24 @@ def _sums(df: DataFrame, work_of) -> np.ndarray:
     return np.array([r.s for r in got])
 
 
-def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, power: float = 0.7, floor: float = 1.0, most: int = MOST, text_col: str = "text") -> Mix:
+def _report(model: Mix, targets: dict[str, float] | None) -> Mix:
+    """Sets ``miss``, a target of no known domain included, and warns of it."""
+    want = dict(zip(model.domains, model.targets.tolist(), strict=True)) | {d: float(t) for d, t in (targets or {}).items()}
+    got = dict(zip(model.domains, model.reached.tolist(), strict=True))
+    bound = TOLERANCE * sum(want.values())
+    model.miss = {d: got.get(d, 0.0) - t for d, t in want.items() if abs(got.get(d, 0.0) - t) > bound}
+    if model.miss:
+        warnings.warn(f"targets not met, tokens reached less tokens wanted: {model.miss}", stacklevel=3)
+    return model
+
+
+def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, power: float = 0.7, floor: float | None = None, most: int = MOST, text_col: str = "text") -> Mix:
     """Learns domains from ``labelled`` (text, domain) and fits rates of ``docs`` to ``targets`` (tokens of each domain)."""
+    floor = (1.0 if targets is None else 0.0) if floor is None else floor
     known = labelled.where("domain IS NOT NULL")
     domains = sorted(r.domain for r in known.select("domain").distinct().collect())
     if not domains:
-        return Mix([], np.zeros((1, 0)), np.zeros(0))
+        return _report(Mix([], np.zeros((1, 0)), np.zeros(0)), targets)
     # Only hashes are ordered and gathered; equal texts of a domain teach once.
     known = known.select("domain", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     chosen = None
@@ -107,7 +124,7 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
 
     first = _sums(rows, moments)
     if not len(first) or not first[:size].sum():
-        return model
+        return _report(model, targets)
     supply, cross = first[:size], first[size:].reshape(size, size)
     if targets is None:
         want = np.maximum(supply, 1e-9) ** power
@@ -123,13 +140,13 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
         t, p = parts(batch)
         return (t * model.rates(p)) @ p
 
-    for _ in range(STEPS):
+    for k in range(STEPS + 1):  # the last sum is that of the last step's rates
         model.reached = _sums(rows, reached)
         left = model.reached - want
-        if np.abs(left).max() <= TOLERANCE * want.sum() or len(model.path) > 1 and np.abs(model.path[-1]).max() < 1e-6:
+        if k == STEPS or np.abs(left).max() <= TOLERANCE * want.sum() or len(model.path) > 1 and np.abs(model.path[-1]).max() < 1e-6:
             break
         model.path = [*model.path, step * scale * left]
-    return model
+    return _report(model, targets)
 
 
 def add_rates(docs: DataFrame, model: Mix, text_col: str = "text") -> DataFrame:

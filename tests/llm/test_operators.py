@@ -147,6 +147,21 @@ def test_decontamination_finds_every_passage_within_its_edits(spark):
             assert least_edits(own, text[r.at :])[0] == r.edits and (least_edits(own, text[r.at + 1 :])[0] > r.edits or r.edits)
 
 
+def test_mixing_to_given_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labelled = docs.select("text", docs.lang.alias("domain"))
+    supply = mixing.fit(docs, labelled, power=1.0)
+    assert np.allclose(supply.targets, supply.reached) and not supply.miss
+    want = {d: t * (0.4 if k % 2 else 1.5) for k, (d, t) in enumerate(zip(supply.domains, supply.targets))}
+    model = mixing.fit(docs, labelled, want)
+    assert np.abs(model.reached - model.targets).max() <= 1e-2 * model.targets.sum()
+    with pytest.warns(UserWarning, match="not met"):
+        held = mixing.fit(docs, labelled, want | {"none": 100.0}, floor=1.0)
+    assert held.miss["none"] == -100 and max(held.miss.values()) > 0.05 * sum(want.values())
+    with pytest.warns(UserWarning, match="not met"):
+        assert mixing.fit(docs, labelled.limit(0), {"none": 1.0}).miss == {"none": -1.0}
+
+
 def brute_parts(texts):
     """Parts of a fingerprint by plain Python, by the lexicon of ``texts``."""
     signed = lambda n: (n + (1 << 63)) % (1 << 64) - (1 << 63)
