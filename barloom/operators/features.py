@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .kernel import order, indicator, rows
@@ -32,6 +34,12 @@ def one_if_zero(c: Column) -> Column:
     return F.when(c.isNull() | (c == 0), 1.0).otherwise(c)
 
 
+def average_reach(span: int) -> int:
+    """Bars after which the weight of what lies further back in an average of ``span`` is below 1e-15."""
+    rest = 1 - 2 / (span + 1)
+    return math.ceil(math.log(1e-15) / math.log(rest)) if rest else 1
+
+
 def expand(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int = 20, span: int = 5) -> DataFrame:
     """(series, ts, the 43 features) of an indicator frame."""
     if not 0 < down < up < 1 or window < 1 or span < 1:
@@ -61,7 +69,7 @@ def expand(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int = 20
         "cycle_phase": F.when((F.col("l0") > F.col("l1")) & (F.col("l2") > F.col("l3")), 2).when(F.col("l0") > F.col("l1"), 1).when(F.col("l2") > F.col("l3"), 3).otherwise(0).cast("long"),
     })
     alpha = 2 / (span + 1)
-    ema = F.aggregate(F.collect_list("rsi_change_1").over(rows(-128)), F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(a + alpha * (v - a)))
+    ema = F.aggregate(F.collect_list("rsi_change_1").over(rows(-average_reach(span))), F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(a + alpha * (v - a)))
     run = F.sum("regime_changed").over(order().rowsBetween(Window.unboundedPreceding, 0))
     hundred = rows(-99)
     path = F.sum("dc").over(w)

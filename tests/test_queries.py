@@ -34,6 +34,16 @@ def test_features_have_no_nulls_and_look_back_only(spark):
     assert ((whole.loc[cut.index] - cut).abs().max() <= 1e-9).all()
 
 
+def test_velocity_of_a_long_span_counts_all_bars(spark):
+    from barloom.operators.features import expand
+    from barloom.operators.kernel import indicator
+
+    got = expand(indicator(core._bars(spark, SF)), span=200).select("series", "ts", "rsi_change_1", "rsi_velocity").toPandas().sort_values(["series", "ts"])
+    assert got.groupby("series").size().max() > 300
+    want = got.groupby("series")["rsi_change_1"].transform(lambda v: v.ewm(span=200, adjust=False).mean())
+    assert (got["rsi_velocity"] - want).abs().max() <= 1e-12
+
+
 def test_multi_features(spark):
     from barloom.operators import multi
 
