@@ -8,9 +8,9 @@ hold a few words.  A fingerprint's part is the hash of the sorted distinct
 words that the text shares with one lexicon, empty if none; likeness of two
 fingerprints is the share of equal parts among those that either fills.
 
-Frequencies cover all documents.  A word in the band is in at least N / e^7
+Frequencies cover all documents.  A word in the band is in at least N / e^9
 documents, so the lexicon is bounded by the mean number of distinct words times
-e^7, whatever N is.  Up to ``BOUND`` words it goes into the plan as a table of
+e^9, whatever N is.  Up to ``BOUND`` words it goes into the plan as a table of
 hash slots, and a text is then looked up within its own row; beyond that, words
 are joined with it by shuffle.
 
@@ -30,7 +30,7 @@ from .common import Scratch, documents, texts
 from .ranking import ranked
 
 #: ln(N / df) from and to which a word belongs to the lexicon.
-BAND = (2.0, 7.0)
+BAND = (2.0, 9.0)
 FAMILIES = 8
 LEVELS = 8
 #: Words of a lexicon that is looked up within the row: 2.7 MB as text.

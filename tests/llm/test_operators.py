@@ -223,6 +223,15 @@ def test_fingerprints_of_odd_rows_and_a_large_lexicon(spark, tmp_path):
     assert within == joined and len(within) == docs.count()
 
 
+def test_fingerprints_of_texts_of_rare_words(spark, tmp_path):
+    rows = [(d, " ".join(f"c{(d * 7 + k) % 50}" for k in range(5)), "a") for d in range(1500)]
+    rows += [(d, " ".join(f"r{d}x{k}" for k in range(60)), "a") for d in range(1500, 1510)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    rare = [r for r in fingerprint.op3_fingerprint(spark, str(tmp_path)).collect() if r.doc_id >= 1500]
+    assert len(rare) == 10 and all("-" in r.fingerprint for r in rare)
+    assert sum(r.near_edited for r in rare) > 1 and sum(r.near_next for r in rare) == 0
+
+
 def test_language_and_toxicity(spark):
     docs = frame(spark, ODD)
     known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
