@@ -31,6 +31,8 @@ from .words import Words, word_blocks
 #: Most rows of each language that statistics are learned from.
 MOST = 1500
 BUCKETS = 1 << 17
+#: Lengths of the n-grams, in bytes.
+SIZES = (2, 3, 4)
 #: Cost, in nats of a word's score, of a change of language between two words.
 SWITCH = 6.0
 #: Script ranges by the first byte of a UTF-8 letter (fixed values of the encoding):
@@ -63,10 +65,9 @@ class Model:
 
     def words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(scores of the distinct words by language, each word's row)."""
-        _, at, row = np.unique(words.hashes(fold=True), return_index=True, return_inverse=True)
-        bucket, owner = subword.grams(words, at, len(self.table), (2, 3, 4))
-        n = np.maximum(np.bincount(owner, minlength=len(at)), 1)
-        score = np.stack([np.bincount(owner, self.table[bucket, k], minlength=len(at)) for k in range(len(self.langs))], axis=1).astype(np.float64)
+        hashes, at, row = np.unique(words.hashes(fold=True), return_index=True, return_inverse=True)
+        score, n = subword.gram_sums(words, at, hashes, self.table, SIZES)
+        n = np.maximum(n, 1)
         score *= (np.sqrt(n) / n)[:, None]  # n-grams of a word overlap
         used = scripts(words, at)
         score[used == 0] = 0
@@ -133,11 +134,12 @@ def fit(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str
             lang = np.array([langs.index(x) for x in batch.column("lang").to_pylist()], dtype=np.int64)
             for lo, hi, words in word_blocks(batch.column("text")):
                 own = lang[lo:hi][words.doc_of()]
-                used = scripts(words, np.arange(len(words.start)))
+                used, hashes = scripts(words, np.arange(len(words.start))), words.hashes(fold=True)
                 for k in np.unique(own):
                     at = np.flatnonzero(own == k)
-                    bucket, _ = subword.grams(words, at, BUCKETS, (2, 3, 4))
-                    seen = np.bincount(bucket, minlength=BUCKETS)
+                    seen = np.zeros(BUCKETS, dtype=np.int64)
+                    for bucket, _ in subword.grams(words, at, hashes[at], BUCKETS, SIZES):
+                        seen += np.bincount(bucket, minlength=BUCKETS)
                     full = np.flatnonzero(seen)
                     marks = np.array([(used[at] >> s & 1).sum() for s in range(len(RANGES))])
                     yield pa.record_batch(

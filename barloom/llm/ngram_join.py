@@ -38,21 +38,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import sketch
 from .common import Scratch, documents, map_arrow, texts
 from .components import components
-from .words import U64, Words, _grow, mix, run_starts, runs, word_blocks
-from . import words as _words
+from .words import U64, Words, mix, run_starts, runs, sequences, word_blocks
 
 ORDERS = 3
 PER_BYTE = 0.5
 
 
-def _whole(hashes: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
-    """A hash of each document's word sequence."""
-    _grow(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(mix(hashes, seed) * _words._powers[: len(hashes)], out=total[1:])
-    return mix((total[first[1:]] - total[first[:-1]]) * _words._inverse[first[:-1]] + np.diff(first).astype(np.uint64), seed)
-
-
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct shingle hashes, document after document and sorted in each; bounds; word hashes)."""
     hashes = words.hashes(fold=True)
@@ -123,8 +114,8 @@ def _scan(rows: DataFrame, packed, cells: int, size: int, percent: int, orders:
                 yield pa.record_batch(
                     [
                         *(batch.column(c).slice(lo, hi - lo) for c in ("row", "doc_id", "t1", "t2")),
-                        pa.array(_whole(hashes, words.first, 61).view(np.int64)),
-                        pa.array(_whole(hashes, words.first, 62).view(np.int64)),
+                        pa.array(sequences(hashes, words.first, 61).view(np.int64)),
+                        pa.array(sequences(hashes, words.first, 62).view(np.int64)),
                         pa.array(n.astype(np.int64)),
                         pa.ListArray.from_arrays(offsets, pa.array(cat(tokens, np.uint64).view(np.int64))),
                         pa.ListArray.from_arrays(offsets, pa.array(cat(order, np.int8))),

@@ -15,48 +15,87 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import words as _words
 from .common import map_arrow
-from .words import FOLD, U64, Words, mix, spans, word_blocks
+from .words import FOLD, PIECE, U64, Words, mix, spans, word_blocks
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 16
 
 
-def grams(words: Words, at: np.ndarray, buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, index into ``at``) of every n-gram of the words ``at`` and of the words themselves."""
+_STEPS = tuple(np.random.default_rng(20240307 + k).integers(1, 2**63, 256, dtype=np.uint64) for k in range(8))
+
+
+def _grams_of(padded: np.ndarray, first: np.ndarray, buckets: int, sizes: tuple[int, ...], room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, word) of the n-grams of each size; word w is ``padded[first[w]:]``, and its n-grams begin at its first ``room`` places less the size, ``PIECE`` at most."""
+    n, total = len(padded), np.zeros(len(padded), dtype=np.uint64)
+    for k in range(max(sizes)):
+        if k < n:
+            total[: n - k] += _STEPS[k][padded[k:]]
+        if k + 1 in sizes:
+            each = np.clip(room - k, 0, PIECE)
+            h = mix(total[spans(first, each)], 71 + k)
+            yield ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32), np.repeat(np.arange(len(first)), each)
+
+
+def grams(words: Words, at: np.ndarray, hashes: np.ndarray, buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, index into ``at``) of every n-gram of the words ``at`` and of the words themselves (``hashes``), in pieces of bounded size."""
+    yield ((mix(hashes, 70) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32), np.arange(len(at))
     lengths = words.end[at] - words.start[at]
-    first = np.concatenate(([0], np.cumsum(lengths + 2)))
-    padded = np.full(int(first[-1]), ord(">"), dtype=np.uint8)
-    padded[first[:-1]] = ord("<")
-    padded[spans(first[:-1] + 1, lengths)] = FOLD[words.data[spans(words.start[at], lengths)]]
-    n = len(padded)
-    _words._grow(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_words._TABLE[padded] * _words._powers[:n], out=total[1:])
-    found, owner = [], []
-    for size in (*sizes, 0):
-        room = np.maximum(lengths + 3 - size, 0) if size else np.ones(len(at), dtype=np.int64)
-        p = spans(first[:-1], room)
-        to = p + size if size else first[1:]
-        h = mix((total[to] - total[p]) * _words._inverse[p], 70 + size)
-        found.append(((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32))
-        owner.append(np.repeat(np.arange(len(at)), room))
-    return np.concatenate(found), np.concatenate(owner)
+    total = np.concatenate(([0], np.cumsum(lengths + 2)))
+    k, most = 0, max(sizes)
+    while k < len(at):
+        to = int(np.searchsorted(total, total[k] + PIECE, side="right")) - 1
+        if to <= k:  # one word longer than a piece: its n-grams by their first byte
+            whole = words.data[words.start[at[k]] : words.end[at[k]]]
+            n = len(whole) + 2
+            for lo in range(0, n, PIECE):
+                hi = min(lo + PIECE + most - 1, n)
+                own = np.empty(hi - lo, dtype=np.uint8)
+                inside = FOLD[whole[max(lo - 1, 0) : hi - 1]]
+                own[not lo : (not lo) + len(inside)] = inside
+                if not lo:
+                    own[0] = ord("<")
+                if hi == n:
+                    own[-1] = ord(">")
+                for bucket, owner in _grams_of(own, np.zeros(1, np.int64), buckets, sizes, np.array([n - lo])):
+                    yield bucket, owner + k
+            k += 1
+            continue
+        own = lengths[k:to]
+        first = total[k:to] - total[k]
+        padded = np.full(int(total[to] - total[k]), ord(">"), dtype=np.uint8)
+        padded[first] = ord("<")
+        padded[spans(first + 1, own)] = FOLD[words.data[spans(words.start[at[k:to]], own)]]
+        for bucket, owner in _grams_of(padded, first, buckets, sizes, own + 2):
+            yield bucket, owner + k
+        k = to
+
+
+def gram_sums(words: Words, at: np.ndarray, hashes: np.ndarray, table: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the rows of ``table`` over the n-grams of each word of ``at``, number of n-grams)."""
+    out, count = np.zeros((len(at), table.shape[1])), np.zeros(len(at), dtype=np.int64)
+    for bucket, owner in grams(words, at, hashes, len(table), sizes):
+        if len(owner):
+            lo, hi = int(owner[0]), int(owner[-1]) + 1
+            count[lo:hi] += np.bincount(owner - lo, minlength=hi - lo)
+            for k in range(table.shape[1]):
+                out[lo:hi, k] += np.bincount(owner - lo, table[bucket, k], minlength=hi - lo)
+    return out, count
 
 
 def word_scores(words: Words, table: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
     """(scores of the distinct words, a row each; each word's row)."""
-    _, at, row = np.unique(words.hashes(fold=True), return_index=True, return_inverse=True)
-    bucket, owner = grams(words, at, len(table), sizes)
-    out = np.stack([np.bincount(owner, table[bucket, k], minlength=len(at)) for k in range(table.shape[1])], axis=1).astype(np.float64)
-    return out, row
+    hashes, at, row = np.unique(words.hashes(fold=True), return_index=True, return_inverse=True)
+    return gram_sums(words, at, hashes, table, sizes)[0], row
 
 
 def by_doc(words: Words, values: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` (a row for each word) over each document."""
-    total = np.concatenate((np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)))
-    return total[words.first[1:]] - total[words.first[:-1]]
+    """Sums of ``values`` (a row for each word) over each document, each summed alone, so that equal texts have equal sums."""
+    out = np.zeros((words.n_docs, values.shape[1]))
+    full = np.flatnonzero(words.counts)
+    if len(full):
+        out[full] = np.add.reduceat(values, words.first[full], axis=0)
+    return out
 
 
 def bags(rows: DataFrame, buckets: int = BUCKETS) -> list:
@@ -66,10 +105,12 @@ def bags(rows: DataFrame, buckets: int = BUCKETS) -> list:
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             label = batch.column("label")
             for lo, hi, words in word_blocks(batch.column("text")):
-                which, share = [], []
+                which, share, hashes = [], [], words.hashes(fold=True)
                 for d in range(hi - lo):
                     at = np.arange(words.first[d], words.first[d + 1])
-                    count = np.bincount(grams(words, at, buckets)[0], minlength=buckets) if len(at) else np.zeros(buckets, np.int64)
+                    count = np.zeros(buckets, np.int64)
+                    for bucket, _ in grams(words, at, hashes[at], buckets):
+                        count += np.bincount(bucket, minlength=buckets)
                     own = np.flatnonzero(count)
                     which.append(own.astype(np.uint16).tobytes())
                     share.append((count[own] / max(len(at), 1)).astype(np.float16).tobytes())
