@@ -15,9 +15,9 @@ Reading sends each part the chunks that it needs once, so a chunk that a third
 of all documents share moves once for each part, and checks every digest and
 root.
 
-A word's ids don't depend on its neighbours beyond white space, nor letters and
-digits on marks that follow them (the tokenizer normalises and splits within
-both), nor on ASCII case, so each different word of a batch is encoded once.
+Where a word's ids don't depend on its neighbours beyond white space, nor those
+of letters and digits on marks that follow them, each different word is encoded
+once; other tokenizers encode whole texts. ``Encoder`` tries which holds.
 
 Defined results: null and empty texts have the end id alone; null ids come
 first, repeated rows are documents of their own, in an order that their
@@ -28,11 +28,12 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Scratch, documents, map_arrow, texts
 from .ranking import ranked
@@ -40,6 +41,8 @@ from .words import PLAIN, U64, Words, blocks, mix, runs, spans
 
 REACH, LEAST, MOST, MEAN = 16, 64, 2048, 256
 PART = 1 << 21
+#: Parts under one node of the manifest's upper tree.
+FAN = 1 << 12
 CACHE = 1 << 20
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[list(b".,;:!?")] = True
@@ -60,33 +63,88 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
+class Cache:
+    """Ids of words by their hash: open addressing in arrays, so that a block's words are looked up at once."""
+
+    def __init__(self, most: int):
+        self.most, self.slots = most, 1 << (2 * most - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.where = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+        self.begin, self.size, self.flat, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0, 0
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> U64(20)).astype(np.int64) & (self.slots - 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 if there is none."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        left, slot = np.arange(len(hashes)), self._slot(hashes)
+        while len(left):
+            key = self.keys[slot]
+            same = key == hashes[left]
+            out[left[same]] = self.where[slot[same]]
+            on = ~same & (key != 0)
+            left, slot = left[on], slot[on] + 1 & self.slots - 1
+        return out
+
+    def add(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """Adds words, distinct and new; a hash is never 0."""
+        if self.ids + len(flat) > len(self.flat):
+            grown = np.zeros(2 * (self.ids + len(flat)), np.uint32)
+            grown[: self.ids] = self.flat[: self.ids]
+            self.flat = grown
+        self.flat[self.ids : self.ids + len(flat)] = flat
+        self.begin = np.concatenate((self.begin, self.ids + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        left, slot = np.arange(len(hashes)), self._slot(hashes)
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[left[free]]
+            self.where[slot[free]] = self.used + left[free]
+            won = self.keys[slot] == hashes[left]
+            # Two words may have met in a free slot: the last one written has it.
+            won &= self.where[slot] == self.used + left
+            left, slot = left[~won], slot[~won] + 1 & self.slots - 1
+        self.used += len(hashes)
+        self.ids += len(flat)
+
+
 class Encoder:
     """Ids of whole texts from the ids of their different words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id("<|endoftext|>")
-        self.between = " <|endoftext|> "
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self._clear()
-
-    def _clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.begin = self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.by_word, self.caseless = self._checked()
+        self.cache = Cache(CACHE)
+
+    def _checked(self) -> tuple[bool, bool]:
+        """Whether words can be encoded one by one, and whether ASCII case makes no difference, tried on a text of every kind of mark."""
+        plain = "".join(map(chr, range(33, 127)))
+        words = [f"{plain[k:k + 3]}a{plain[k]}" for k in range(0, 94, 2) if "<|" not in plain[k : k + 3]] + ["Abc", "\u00c9t\u00e9", "\u6f22\u5b57", "x1,y", "don't.", "\u0301b"]
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        each = [i for w in words for i in ids(w)]
+        cut = [i for w in ("ab,", "b7.", "Zz?!") for i in (*ids(w[:2]), *ids(w[2:]))]
+        by_word = all(ids(between.join(words)) == each for between in (" ", "\n\t ", "  \r\x0b\x0c")) and ids("ab, b7. Zz?!") == cut and ids(" a ") == ids("a")
+        return by_word, by_word and all(ids(w) == ids(w.lower()) for w in words if w.isascii())
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of word after word, number of ids of each); one call for all that don't hold the mark between them."""
+        """(ids of word after word, number of ids of each); one call for all but those that may hold a special token."""
         plain = [w for w in words if "<|" not in w]
-        ids = np.array(self.tokenizer.encode(self.between.join(plain), add_special_tokens=False).ids, dtype=np.uint32)
-        at = np.flatnonzero(ids == self.mark)
-        edges = np.concatenate(([-1], at, [len(ids)]))
-        size, flat = np.diff(edges) - 1, np.delete(ids, at)
+        got = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+        lengths = np.fromiter(map(len, plain), np.int64, len(plain))
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        flat = np.array(got.ids, dtype=np.uint32)
+        begin = np.fromiter((a for a, _ in got.offsets), np.int64, len(flat))
+        size = np.bincount(np.searchsorted(starts, begin, side="right") - 1, minlength=len(plain)) if len(plain) else np.zeros(0, np.int64)
         if len(plain) == len(words):
             return flat, size
-        parts, k = np.split(flat, np.cumsum(size)[:-1]), 0
+        parts, k = np.split(flat, np.cumsum(size)[:-1]) if len(plain) else [], 0
         own = []
         for w in words:
             if "<|" in w:
@@ -96,31 +154,39 @@ class Encoder:
                 k += 1
         return np.concatenate(own), np.array([len(x) for x in own])
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        for k in range(0, len(words), 4096):
-            flat, size = self._encode(words[k : k + 4096])
-            at = np.searchsorted(self.hashes, hashes[k : k + 4096])
-            self.hashes = np.insert(self.hashes, at, hashes[k : k + 4096])
-            self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(size) - size)
-            self.size = np.insert(self.size, at, size)
-            self.flat = np.concatenate((self.flat, flat))
-
-    def encode(self, words: Words, end: int) -> tuple[np.ndarray, np.ndarray]:
+    def _rows(self, words: Words) -> tuple[np.ndarray, Cache]:
+        """The cache's entry of each word, and the cache."""
+        fold = self.caseless and b"<|" not in words.data.tobytes()  # special tokens are one thing that case changes
+        hashes, cache = np.maximum(words.hashes(fold=fold), U64(1)), self.cache
+        entry = cache.find(hashes)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            known, at = np.unique(hashes[new], return_index=True)
+            if cache.used + len(known) > cache.most:
+                if cache.used:
+                    cache.clear()
+                    return self._rows(words)
+                cache = Cache(len(known))  # for this block alone
+            at = new[at]
+            for k in range(0, len(known), 4096):
+                cache.add(known[k : k + 4096], *self._encode([words.text(j).decode() for j in at[k : k + 4096].tolist()]))
+            entry[new] = cache.find(hashes[new])
+        return entry, cache
+
+    def encode(self, data: np.ndarray, edges: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of document after document, each with the end id; bounds)."""
-        fold = b"<|" not in words.data.tobytes()  # special tokens are the one thing that case changes
-        hashes, at, row = np.unique(words.hashes(fold=fold), return_index=True, return_inverse=True)
-        if len(self.hashes) > CACHE:
-            self._clear()
-        new = ~np.isin(hashes, self.hashes, assume_unique=True)
-        if new.any():
-            self._learn(hashes[new], [words.text(k).decode() for k in at[new].tolist()])
-        own = np.searchsorted(self.hashes, hashes)
-        size, begin, flat = self.size[own], self.begin[own], self.flat
-        lengths = size[row] if len(row) else np.zeros(0, np.int64)
-        body = flat[spans(begin[row], lengths)] if len(row) else flat
-        total = np.concatenate(([0], np.cumsum(lengths)))
-        ends = total[words.first[1:]]
-        bounds = np.concatenate(([0], ends + np.arange(1, words.n_docs + 1)))
+        if not self.by_word:
+            each = self.tokenizer.encode_batch([data[a:b].tobytes().decode() for a, b in zip(edges, edges[1:])], add_special_tokens=False)  # noqa: B905
+            size = np.array([len(x.ids) for x in each])
+            body = np.array([i for x in each for i in x.ids], dtype=np.uint32)
+        else:
+            words = Words(data, edges, cut=(_ASCII, _STOPS))
+            entry, cache = self._rows(words)
+            lengths = cache.size[entry]
+            body = cache.flat[spans(cache.begin[entry], lengths)]
+            total = np.concatenate(([0], np.cumsum(lengths)))
+            size = np.diff(total[words.first])
+        bounds = np.concatenate(([0], np.cumsum(size + 1)))
         out = np.empty(int(bounds[-1]), dtype=np.uint32)
         mark = np.zeros(len(out), dtype=bool)
         mark[bounds[1:] - 1] = True
@@ -128,6 +194,17 @@ class Encoder:
         return out, bounds
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker, so that what a task has learned serves the next."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def cuts(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
     """Ends of the chunks of each document."""
     h = runs(mix(ids.astype(np.uint64), 91), REACH, 92)
@@ -148,55 +225,82 @@ def cuts(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
     return out
 
 
+def _digests(blob: str) -> Column:
+    """The digests that a recipe's blob holds one after another."""
+    return F.expr(f"transform(sequence(0, length({blob}) div 16 - 1), k -> substring({blob}, 16 * k + 1, 16))")
+
+
 def write_store(docs: DataFrame, place: str, tokenizer_path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Writes the store of ``docs`` to ``place`` and returns the Merkle root of it all, in hexadecimal."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "encoded")
-    chunk = pa.list_(pa.struct([("digest", pa.binary()), ("ids", pa.binary())]))
 
     def make():
-        encoder = Encoder(tokenizer_path)
-        kind = "<u4" if encoder.wide or end >= 1 << 16 else "<u2"
+        coder = encoder(tokenizer_path)
+        kind = "<u4" if coder.wide or end >= 1 << 16 else "<u2"
+        width, seen = int(kind[-1]), set()
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for lo, hi, data, edges in blocks(batch.column("text")):
-                ids, bounds = encoder.encode(Words(data, edges, cut=(_ASCII, _STOPS)), end)
-                raw, width = ids.astype(kind).tobytes(), int(kind[-1])
-                chunks, roots = [], []
+                ids, bounds = coder.encode(data, edges, end)
+                raw = memoryview(ids.astype(kind)).cast("B")
+                roots, recipes, fresh, held, ends_at = [], [], [], [], [0]
+                if len(seen) > CACHE:
+                    seen.clear()
                 for d, ends in enumerate(cuts(ids, bounds)):
-                    parts = [raw[width * a : width * b] for a, b in zip([int(bounds[d]), *ends], ends)]  # noqa: B905
-                    chunks.append([{"digest": digest(x), "ids": x} for x in parts])
-                    roots.append(merkle([x["digest"] for x in chunks[-1]]))
+                    own, a = [], int(bounds[d])
+                    for b in ends:
+                        part = raw[width * a : width * b]
+                        own.append(digest(part))
+                        if own[-1] not in seen:  # a task sends a chunk once
+                            seen.add(own[-1])
+                            fresh.append(len(own) - 1)
+                            held.append(part)
+                        a = b
+                    roots.append(merkle(own))
+                    recipes.append(b"".join(own))
+                    ends_at.append(len(held))
+                at = pa.array(ends_at, pa.int32())
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array([width] * (hi - lo), pa.int32()), pa.array(roots, pa.binary()), pa.array([[x["digest"] for x in c] for c in chunks], pa.list_(pa.binary())), pa.array(chunks, chunk)],
-                    names=["doc_id", "n_tokens", "width", "root", "digests", "chunks"],
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array([width] * (hi - lo), pa.int32()), pa.array(roots, pa.binary()), pa.array(recipes, pa.binary()), pa.ListArray.from_arrays(at, pa.array(fresh, pa.int32())), pa.ListArray.from_arrays(at, pa.array(held, pa.binary()))],
+                    names=["doc_id", "n_tokens", "width", "root", "digests", "fresh", "chunks"],
                 )
 
         return work
 
-    made = map_arrow(texts(docs, id_col, text_col), "doc_id long, n_tokens long, width int, root binary, digests array<binary>, chunks array<struct<digest:binary,ids:binary>>", make)
+    made = map_arrow(texts(docs, id_col, text_col), "doc_id long, n_tokens long, width int, root binary, digests binary, fresh array<int>, chunks array<binary>", make)
     made = scratch.keep(made, "encoded")
-    made.select(F.inline("chunks")).groupBy("digest").agg(F.first("ids").alias("ids")).write.parquet(f"{place}/chunks")
-    placed = ranked(made.drop("chunks"), ["doc_id", "root"], scratch, "recipes", weight=F.col("n_tokens")).withColumnRenamed("before", "start")
+    chunks = made.select("digests", F.inline(F.arrays_zip("fresh", "chunks"))).select(F.expr("substring(digests, 16 * fresh + 1, 16)").alias("digest"), F.col("chunks").alias("ids"))
+    chunks.dropDuplicates(["digest"]).write.parquet(f"{place}/chunks")
+    recipes = scratch.keep(made.drop("fresh", "chunks"), "recipes")
+    scratch.drop("encoded")
+    placed = ranked(recipes, ["doc_id", "root"], scratch, "placed", weight=F.col("n_tokens")).withColumnRenamed("before", "start")
     placed = placed.withColumn("part", F.expr(f"start div {PART}"))
     placed.repartitionByRange("part", "start").sortWithinPartitions("part", "start").write.parquet(f"{place}/recipes")
-    scratch.drop("encoded")
+    scratch.drop("recipes")
+    scratch.drop("placed")
 
-    def roots(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("start")
-        return pa.table({"part": [key[0].as_py()], "docs": [table.num_rows], "tokens": [sum(table["n_tokens"].to_pylist())], "root": [merkle(table["root"].to_pylist())]}, pa.schema([("part", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("root", pa.binary())]))
+    def roots(of: str, value: str, order: str):
+        def root(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            table = table.sort_by(order)
+            return pa.table({of: [key[0].as_py()], "docs": [sum(table["docs"].to_pylist())], "tokens": [sum(table["tokens"].to_pylist())], value: [merkle(table["leaf"].to_pylist())]}, pa.schema([(of, pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), (value, pa.binary())]))
 
-    recipes = spark.read.parquet(f"{place}/recipes")
-    recipes.select("part", "start", "n_tokens", "root").groupBy("part").applyInArrow(roots, "part long, docs long, tokens long, root binary").coalesce(1).write.parquet(f"{place}/manifest")
-    manifest = spark.read.parquet(f"{place}/manifest").select("part", "root").orderBy("part").toLocalIterator()
-    return merkle([bytes(r.root) for r in manifest]).hex()  # 16 bytes for each PART ids
+        return root
+
+    recipes = spark.read.parquet(f"{place}/recipes").select("part", "start", F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens"), F.col("root").alias("leaf"))
+    recipes.groupBy("part").applyInArrow(roots("part", "root", "start"), "part long, docs long, tokens long, root binary").write.parquet(f"{place}/manifest")
+    # Subtrees of ``FAN`` leaves, a power of two, stand where they would in one tree over all parts.
+    level = spark.read.parquet(f"{place}/manifest").select("part", "docs", "tokens", F.col("root").alias("leaf"))
+    level = level.withColumn("above", F.expr(f"part div {FAN}")).groupBy("above").applyInArrow(roots("above", "leaf", "part"), "above long, docs long, tokens long, leaf binary")
+    tops = level.orderBy("above").toLocalIterator()
+    return merkle([bytes(r.leaf) for r in tops]).hex()  # 16 bytes for each FAN * PART ids
 
 
 def read_store(spark: SparkSession, place: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the store, verified; ids as little-endian 32-bit numbers."""
     recipes = spark.read.parquet(f"{place}/recipes")
     chunks = spark.read.parquet(f"{place}/chunks")
-    needs = recipes.select(F.col("part").alias("of_part"), F.explode("digests").alias("digest")).distinct().join(chunks, "digest")
+    needs = recipes.select(F.col("part").alias("of_part"), F.explode(_digests("digests")).alias("digest")).distinct().join(chunks, "digest")
     proof = spark.read.parquet(f"{place}/manifest").select("part", F.col("root").alias("proof"))
 
     def build(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -205,8 +309,9 @@ def read_store(spark: SparkSession, place: str) -> DataFrame:
             raise ValueError("a chunk doesn't match its digest")
         left = left.sort_by("start")
         ids = []
-        for width, root, own, n in zip(*(left[c].to_pylist() for c in ("width", "root", "digests", "n_tokens")), strict=True):
-            x = np.frombuffer(b"".join(known[k] for k in own), f"<u{width}").astype("<u4")
+        for width, root, blob, n in zip(*(left[c].to_pylist() for c in ("width", "root", "digests", "n_tokens")), strict=True):
+            own = [blob[k : k + 16] for k in range(0, len(blob), 16)]
+            x = np.frombuffer(b"".join([known[k] for k in own]), f"<u{width}").astype("<u4")
             if merkle(own) != root or len(x) != n:
                 raise ValueError("a document doesn't match its recipe")
             ids.append(x.tobytes())
