@@ -27,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import subword
-from .common import Scratch, documents, map_arrow, texts
+from .common import Scratch, choose, documents, fresh, map_arrow, text_udf, texts
 from .words import word_blocks
 
-#: Most labelled rows of each domain that the classifier learns from.
+#: Labelled rows of each domain, about, that the classifier learns from.
 MOST = 250
 STEPS = 40
 TOLERANCE = 1e-4
@@ -46,10 +46,17 @@ class Mix:
         self.targets = self.reached = np.zeros(len(domains))
         #: Tokens reached less tokens wanted, by domain, of targets that are not met.
         self.miss: dict[str, float] = {}
+        self.table_of: DataFrame | None = None
 
-    def rates(self, p: np.ndarray) -> np.ndarray:
+    def frozen(self) -> Mix:
+        """What tasks need of it."""
+        out = Mix(self.domains, self.table, self.bias)
+        out.base, out.floor, out.path = self.base, self.floor, self.path
+        return out
+
+    def rates(self, p: np.ndarray, path: list | None = None) -> np.ndarray:
         x = np.full(len(p), max(self.base, self.floor))
-        for g in self.path:
+        for g in self.path if path is None else path:
             x = np.maximum(self.floor, x - p @ g)
         return x
 
@@ -84,36 +91,25 @@ def _report(model: Mix, targets: dict[str, float] | None) -> Mix:
     return model
 
 
-def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, power: float = 0.7, floor: float | None = None, most: int = MOST, text_col: str = "text") -> Mix:
-    """Learns domains from ``labelled`` (text, domain) and fits rates of ``docs`` to ``targets`` (tokens of each domain)."""
+def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | str | None = None, power: float = 0.7, floor: float | None = None, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> Mix:
+    """Learns domains from ``labelled`` (doc_id, domain) and fits rates of ``docs`` to ``targets``: tokens of each domain, or "even" for equal shares of all tokens."""
+    spark = docs.sparkSession
     floor = (1.0 if targets is None else 0.0) if floor is None else floor
-    known = labelled.where("domain IS NOT NULL")
-    domains = sorted(r.domain for r in known.select("domain").distinct().collect())
+    given = targets if isinstance(targets, dict) else None
+    known = labelled.select(F.col("doc_id").cast("long"), F.col("domain").cast("string")).where("domain IS NOT NULL AND doc_id IS NOT NULL").distinct()
+    own, counts = choose(known, "domain", most, 7)
+    domains = sorted(counts)
     if not domains:
-        return _report(Mix([], np.zeros((1, 0)), np.zeros(0)), targets)
-    # Only hashes are ordered and gathered; equal texts of a domain teach once.
-    known = known.select("domain", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    chosen = None
-    for k, name in enumerate(domains):
-        own = known.where(F.col("domain") == name).select("domain", "h").distinct().orderBy("h").limit(most).withColumn("label", F.lit(k))
-        chosen = own if chosen is None else chosen.unionByName(own)
-    chosen = known.join(F.broadcast(chosen), ["domain", "h"]).groupBy("label", "h").agg(F.first("text").alias("text"))
-    model = Mix(domains, *subword.train(subword.bags(chosen), len(domains), epochs=8, balance=True))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        m = sent.value
-
-        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for _, _, words in word_blocks(batch.column("text")):
-                p = m.posteriors(words)
-                yield pa.record_batch([pa.array(words.counts.astype(np.float64)), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=["t", *(f"p{k}" for k in range(p.shape[1]))])
-
-        return work
-
+        return _report(Mix([], np.zeros((1, 0)), np.zeros(0)), given)
+    label = (F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1).cast("int").alias("label")
+    # Ids and domains alone are chosen from; texts meet them where they are read.
+    sample = known.where(own).select("doc_id", label)
+    found = subword.bags(texts(docs, id_col, text_col).join(F.broadcast(sample), "doc_id"))
+    found = list({(k, which.tobytes(), share.tobytes()): (k, which, share) for k, which, share in found}.values())  # equal texts of a domain teach once
+    model = Mix(domains, *subword.train(found, len(domains), epochs=8, balance=True))
     size = len(domains)
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = Scratch(docs.sparkSession, "mix").keep(map_arrow(rows, "t double" + "".join(f", p{k} double" for k in range(size)), make), "posteriors")
+    model.table_of = posteriors(docs, model, Scratch(spark, "mix"), id_col, text_col)
+    rows = model.table_of.select("t", *(f"p{k}" for k in range(size)))
 
     def parts(batch):
         return batch.column("t").to_numpy(), np.stack([batch.column(f"p{k}").to_numpy() for k in range(size)], axis=1)
@@ -124,71 +120,111 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
 
     first = _sums(rows, moments)
     if not len(first) or not first[:size].sum():
-        return _report(model, targets)
+        return _report(model, given)
     supply, cross = first[:size], first[size:].reshape(size, size)
     if targets is None:
         want = np.maximum(supply, 1e-9) ** power
         want *= (supply / want).max()
+    elif given is None:
+        want = np.full(size, supply.sum() / size)
     else:
-        want = np.array([float(targets.get(d, 0.0)) for d in domains])
+        want = np.array([float(given.get(d, 0.0)) for d in domains])
     scale = 1 / np.maximum(np.diag(cross), 1e-9)
     root = np.sqrt(scale)
     step = 1 / max(np.linalg.eigvalsh(root[:, None] * cross * root).max(), 1e-9)
     model.floor, model.base, model.targets = floor, float(want.sum() / supply.sum()), want
+    frozen = model.frozen()
 
-    def reached(batch):
-        t, p = parts(batch)
-        return (t * model.rates(p)) @ p
+    def reached_by(path: list):
+        def reached(batch):
+            t, p = parts(batch)
+            return (t * frozen.rates(p, path)) @ p
+
+        return reached
 
     for k in range(STEPS + 1):  # the last sum is that of the last step's rates
-        model.reached = _sums(rows, reached)
+        model.reached = _sums(rows, reached_by(model.path))
         left = model.reached - want
         if k == STEPS or np.abs(left).max() <= TOLERANCE * want.sum() or len(model.path) > 1 and np.abs(model.path[-1]).max() < 1e-6:
             break
         model.path = [*model.path, step * scale * left]
-    return _report(model, targets)
+    return _report(model, given)
 
 
-def add_rates(docs: DataFrame, model: Mix, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__n``, ``__domain``, ``__rate`` and ``__copies``: the rate rounded up or down by a hash of the row."""
-    names = docs.columns
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def posteriors(docs: DataFrame, model: Mix, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, u, t, p0, p1, ...) of every row, written once: a hash of the row, its words and its posterior."""
+    size = len(model.domains)
+    sent = docs.sparkSession.sparkContext.broadcast(model.frozen())
 
     def make():
         m = sent.value
-        domains = np.array([*m.domains, None], dtype=object)
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            u = (batch.column("__u").to_numpy().view(np.uint64) >> np.uint64(11)).astype(np.float64) / 2**53
-            for lo, hi, words in word_blocks(batch.column(text_col).cast(pa.string())):
+            for lo, hi, words in word_blocks(batch.column("text")):
                 p = m.posteriors(words)
-                rate = m.rates(p)
-                copies = np.floor(rate) + (u[lo:hi] < rate - np.floor(rate))
-                best = p.argmax(axis=1) if m.domains else np.full(hi - lo, -1)
-                own = [batch.column(c).slice(lo, hi - lo) for c in names]
-                yield pa.record_batch([*own, pa.array(words.counts.astype(np.int64)), pa.array(list(domains[best]), pa.string()), pa.array(rate), pa.array(copies.astype(np.int32))], names=[*names, "__n", "__domain", "__rate", "__copies"])
+                yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "u")), pa.array(words.counts.astype(np.float64)), *(pa.array(p[:, k]) for k in range(size))], names=["doc_id", "u", "t", *(f"p{k}" for k in range(size))])
 
         return work
 
-    from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+    rows = texts(docs, id_col, text_col).withColumn("u", _chance(F.col("doc_id"), F.col("text")))
+    return scratch.keep(map_arrow(rows, "doc_id long, u double, t double" + "".join(f", p{k} double" for k in range(size)), make), "posteriors")
+
+
+def _chance(doc_id: Column, text: Column) -> Column:
+    """A number from 0 to 1 by a hash of a row."""
+    return F.xxhash64(F.lit(77), text, doc_id).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
 
-    schema = StructType([*docs.schema.fields, StructField("__n", LongType()), StructField("__domain", StringType()), StructField("__rate", DoubleType()), StructField("__copies", IntegerType())])
-    return map_arrow(docs.withColumn("__u", F.xxhash64(F.lit(77), F.col(f"`{text_col}`"), *(F.col(c) for c in names if c == "doc_id"))), schema, make)
 
+def rates(model: Mix) -> DataFrame:
+    """(doc_id, n_tokens, domain, rate, copies) of every row that the model was fitted to: copies is the rate rounded up or down by a hash of the row."""
+    m, size = model.frozen(), len(model.domains)
+    domains = np.array([*m.domains, None], dtype=object)
 
-def mix(docs: DataFrame, model: Mix, text_col: str = "text") -> DataFrame:
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            n = batch.num_rows
+            p = np.stack([batch.column(f"p{k}").to_numpy() for k in range(size)], axis=1) if n else np.zeros((0, size))
+            rate = m.rates(p)
+            best = p.argmax(axis=1) if n else np.zeros(0, np.int64)
+            copies = np.floor(rate) + (batch.column("u").to_numpy() < rate - np.floor(rate))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("t").cast(pa.int64()), pa.array(list(domains[best]), pa.string()), pa.array(rate), pa.array(copies.astype(np.int32))], names=["doc_id", "n_tokens", "domain", "rate", "copies"])
+
+        return work
+
+    return map_arrow(model.table_of, "doc_id long, n_tokens long, domain string, rate double, copies int", make)
+
+
+def mix(docs: DataFrame, model: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as its copies say, with their own columns."""
-    out = add_rates(docs, model, text_col)
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    sent = docs.sparkSession.sparkContext.broadcast(model.frozen())
+
+    def make():
+        m = sent.value
+
+        def work(column: pa.Array, u: pa.Array) -> pa.Array:
+            out = [np.zeros(0, np.int32)]
+            chance = u.to_numpy(zero_copy_only=False)
+            for lo, hi, words in word_blocks(column):
+                rate = m.rates(m.posteriors(words))
+                out.append((np.floor(rate) + (chance[lo:hi] < rate - np.floor(rate))).astype(np.int32))
+            return pa.array(np.concatenate(out))
+
+        return work
+
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    doc_id = F.col(f"`{id_col}`").cast("long") if id_col in docs.columns else F.lit(None).cast("long")
+    copies = text_udf("int", make, 2)(text, _chance(doc_id, text))
+    (name,) = fresh(docs, "copy")
+    return docs.select("*", F.explode(F.array_repeat(F.lit(1), copies)).alias(name)).drop(name)
 
 
 def languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, domain): the language of the rows that ``labels`` covers."""
-    return texts(docs, "doc_id", "text", F.col("lang").alias("domain")).join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """(doc_id, domain): the language of the rows that ``labels`` covers."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("domain"))
+    return own.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rate; every language is to have an equal share of the tokens."""
     docs = documents(spark, sf_dir)
-    model = fit(docs, languages(docs, documents(spark, sf_dir, "labels")))
-    out = add_rates(texts(docs, "doc_id", "text"), model)
-    return out.select("doc_id", F.col("__n").alias("n_tokens"), F.col("__domain").alias("domain"), F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+    return rates(fit(docs, languages(docs, documents(spark, sf_dir, "labels")), "even"))

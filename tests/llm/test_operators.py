@@ -149,7 +149,7 @@ def test_decontamination_finds_every_passage_within_its_edits(spark):
 
 def test_mixing_to_given_targets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labelled = docs.select("text", docs.lang.alias("domain"))
+    labelled = docs.select("doc_id", docs.lang.alias("domain"))
     supply = mixing.fit(docs, labelled, power=1.0)
     assert np.allclose(supply.targets, supply.reached) and not supply.miss
     want = {d: t * (0.4 if k % 2 else 1.5) for k, (d, t) in enumerate(zip(supply.domains, supply.targets))}
