@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import subword
-from .common import documents, map_arrow, texts
+from .common import choose, documents, map_arrow, texts
 from .toxicity import part
 from .words import Words, word_blocks
 
@@ -120,14 +120,10 @@ def fit(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str
     rows = texts(docs, id_col, text_col, lang).where("lang IS NOT NULL AND doc_id IS NOT NULL")
     if learn is not None:
         rows = rows.where(learn)
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    own, known = choose(rows, "lang", most, 4)
+    langs, rows = sorted(known), rows.where(own)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0, np.uint16))
-    chosen = None
-    for lang in langs:
-        own = rows.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(most)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    rows = rows.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi")
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """Operator 5: toxicity by a subword-bag classifier (see ``subword``).
 
-Learns from at most ``most`` labelled rows of each class, those with the least
-hash of their id, and scores every whole text.  Unseen misspellings share
+Learns from about ``most`` labelled rows of each class, chosen by a hash of
+their id, and scores every whole text.  Unseen misspellings share
 n-grams, and so embeddings, with words that were learned.
 
 Defined results: a null or empty text has the score of the biases alone; a
@@ -15,17 +15,15 @@ empty result; other columns are ignored or, by ``drop_toxic``, passed through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import subword
-from .common import documents, map_arrow, texts
+from .common import choose, documents, text_udf, texts
 from .words import word_blocks
 
-#: Most labelled rows of each class that the classifier learns from.
+#: Labelled rows of each class, about, that the classifier learns from.
 MOST = 1500
 EPOCHS = 12
 
@@ -35,14 +33,13 @@ def part(id_col: str, of: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket scores, biases) learned from the labelled rows for which ``learn`` (a column over doc_id) holds."""
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").dropDuplicates(["doc_id"])
+    """(bucket scores, biases) learned from the labelled rows for which ``learn`` (a column over doc_id) holds; an id of both labels is toxic."""
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     if learn is not None:
         known = known.where(learn)
-    order = F.xxhash64("doc_id", F.lit(5))
-    share = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    own = known.where("label = 1").orderBy(order).limit(most).unionByName(known.where("label = 0").orderBy(order).limit(most))
-    found = subword.bags(texts(docs, id_col, text_col).join(F.broadcast(own), "doc_id"))
+    own, share = choose(known, "label", most, 5)
+    found = subword.bags(texts(docs, id_col, text_col).join(F.broadcast(known.where(own)), "doc_id"))
     table, bias = subword.train(found, 2, epochs=EPOCHS, balance=True)
     if all(label == 1 for label, _, _ in found):
         table = np.zeros_like(table)
@@ -51,47 +48,37 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "doc
     return table, bias
 
 
-def _add_score(docs: DataFrame, model, text_col: str) -> DataFrame:
-    """``docs`` with a column ``score`` in place of any of that name."""
-    names = docs.columns
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model):
+    """The score of a text as a column function."""
+    sent = spark.sparkContext.broadcast(((model[0][:, 1:] - model[0][:, :1]), model[1][1] - model[1][0]))
 
     def make():
         table, bias = sent.value
-        table = table[:, 1:] - table[:, :1]
-        bias = bias[1:] - bias[:1]
 
-        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            column, out = batch.column("__text"), [np.zeros(0)]
+        def work(column: pa.Array) -> pa.Array:
+            out = [np.zeros(0)]
             for _, _, words in word_blocks(column):
                 scores, row = subword.word_scores(words, table)
-                x = subword.by_doc(words, scores[row])[:, 0] / np.maximum(words.counts, 1) + bias[0]
+                x = subword.by_doc(words, scores[row])[:, 0] / np.maximum(words.counts, 1) + bias
                 out.append(1 / (1 + np.exp(-np.clip(x, -60, 60))))
-            yield pa.record_batch([*(batch.column(c) for c in names if c != "score"), pa.array(np.concatenate(out))], names=[*(c for c in names if c != "score"), "score"])
+            return pa.array(np.concatenate(out))
 
         return work
 
-    kept = [f for f in docs.schema.fields if f.name != "score"]
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return map_arrow(docs.withColumn("__text", F.col(f"`{text_col}`").cast("string")), StructType([*kept, StructField("score", DoubleType())]), make)
+    return text_udf("double", make)
 
 
 def score_toxicity(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
-    return _add_score(texts(docs, id_col, text_col), model, "text").select("doc_id", "score")
+    return texts(docs, id_col, text_col).select("doc_id", scorer(docs.sparkSession, model)("text").alias("score"))
 
 
 def drop_toxic(docs: DataFrame, model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``, with their own columns; all rows if nothing was learned."""
     if not model[0].any():
         return docs
-    if "score" in docs.columns:
-        docs, held = docs.withColumnRenamed("score", "__score"), True
-    else:
-        held = False
-    kept = _add_score(docs, model, text_col).where(F.col("score") < threshold).drop("score")
-    return kept.withColumnRenamed("__score", "score") if held else kept
+    score = scorer(docs.sparkSession, model)(F.col(f"`{text_col}`").cast("string"))
+    return docs.where(score < threshold)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
