@@ -13,9 +13,11 @@ candidates are intersected before any set is compared.  Shingles that the
 sketch counts once are in prefixes but can't be shared, so they aren't sent.
 
 Large groups.  Within a group of near copies all pairs would be candidates.
-So a few pairs for each shingle come first, each document with the smallest
-id that shares the shingle and with its neighbour by size; they are verified,
-and components are formed.  Then only pairs from different components are
+So a few pairs for each shingle come first, each document with the one that
+shares the shingle and has the fewest shingles of its own (the likely origin of
+a group of edited copies) and with its neighbour by size; they are verified
+without the intersection, as there are at most two for each entry sent, and
+components are formed.  Then only pairs from different components are
 candidates, and of those none between two members of a shingle's most common
 component.  No pair of different components escapes, so no link that matters
 to a component is lost, and no cap is used.
@@ -74,7 +76,7 @@ def _sketch_keys(size: int):
     return keys
 
 
-def _scan(rows: DataFrame, packed, cells: int, size: int, percent: int, orders: int) -> DataFrame:
+def _scan(rows: DataFrame, packed, size: int, percent: int, orders: int) -> DataFrame:
     """Of each row: keys of its word sequence, its set's size, and, if its prefixes hold a shingle that may be shared, those and the set."""
 
     def make():
@@ -83,7 +85,7 @@ def _scan(rows: DataFrame, packed, cells: int, size: int, percent: int, orders:
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for lo, hi, words in word_blocks(batch.column("text")):
                 sets, bounds, hashes = shingle_sets(words, size)
-                level = sketch.levels(levels, sets, cells, 1)
+                level = levels.ranks(sets)
                 n = np.diff(bounds)
                 short = words.counts < size
                 level[np.repeat(short, n)] = 3  # too short for the sketch; taken as common
@@ -117,17 +119,18 @@ def _scan(rows: DataFrame, packed, cells: int, size: int, percent: int, orders:
                         pa.array(sequences(hashes, words.first, 61).view(np.int64)),
                         pa.array(sequences(hashes, words.first, 62).view(np.int64)),
                         pa.array(n.astype(np.int64)),
+                        pa.array(single.astype(np.int32)),
                         pa.ListArray.from_arrays(offsets, pa.array(cat(tokens, np.uint64).view(np.int64))),
                         pa.ListArray.from_arrays(offsets, pa.array(cat(order, np.int8))),
                         pa.ListArray.from_arrays(offsets, pa.array(cat(place, np.int32))),
                         pa.array(kept, pa.binary()),
                     ],
-                    names=["row", "doc_id", "t1", "t2", "k1", "k2", "n", "tokens", "orders", "places", "shingles"],
+                    names=["row", "doc_id", "t1", "t2", "k1", "k2", "n", "single", "tokens", "orders", "places", "shingles"],
                 )
 
         return work
 
-    return map_arrow(rows, "row long, doc_id long, t1 long, t2 long, k1 long, k2 long, n long, tokens array<long>, orders array<byte>, places array<int>, shingles binary", make)
+    return map_arrow(rows, "row long, doc_id long, t1 long, t2 long, k1 long, k2 long, n long, single int, tokens array<long>, orders array<byte>, places array<int>, shingles binary", make)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,21 +182,23 @@ def _components(docs: DataFrame, size: int = 5, percent: int = 75, orders: int =
     packed = spark.sparkContext.broadcast(sketch.build(rows, _sketch_keys(size), cells, 1))
     # Rows are numbered where they are written, so a number is never null, nor dealt anew.
     numbered = rows.select("doc_id", "text", *_text_keys("text")).withColumn("row", F.monotonically_increasing_id())
-    scan = scratch.keep(_scan(numbered, packed, cells, size, percent, orders), "scan")
+    scan = scratch.keep(_scan(numbered, packed, size, percent, orders), "scan")
 
     best = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t1", "t2")))
     reps = scan.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("rep"), best.alias("own"))
     posted = scan.where(F.col("shingles").isNotNull()).join(reps.select(F.col("rep").alias("row")), "row", "left_semi")
     sets = posted.select("row", "shingles")
-    posts = posted.select(F.col("row").alias("doc"), "n", F.inline(F.arrays_zip("orders", "tokens", "places"))).select(F.col("orders").alias("ord"), F.col("tokens").alias("token"), "doc", "n", F.col("places").alias("pos"))
+    posts = posted.select(F.col("row").alias("doc"), "n", "single", F.inline(F.arrays_zip("orders", "tokens", "places"))).select(F.col("orders").alias("ord"), F.col("tokens").alias("token"), "doc", "n", "single", F.col("places").alias("pos"))
     posts = scratch.keep(posts, "sent")
     shared = posts.groupBy("ord", "token").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     posts = scratch.keep(posts.join(shared.select("ord", "token"), ["ord", "token"], "left_semi"), "posts")
 
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    first = posts.where("ord = 0").select("token", "n", "doc")
-    pivot = first.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("p")).select("token", F.col("p.doc").alias("a"), F.col("p.n").alias("na"))
-    star = first.join(pivot, "token").where("doc > a").select("a", F.col("doc").alias("b"), "na", F.col("n").alias("nb"))
+    first = posts.where("ord = 0").select("token", "n", "doc", "single")
+    # The text with the fewest shingles of its own is the likeliest origin of the others' edits.
+    pivot = first.groupBy("token").agg(F.min(F.struct("single", "doc", "n")).alias("p")).select("token", F.col("p.doc").alias("p"), F.col("p.n").alias("np"))
+    star = first.join(pivot, "token").where("doc <> p").select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb"))
+    first = first.drop("single")
     chain = first.repartitionByRange("token", "n", "doc").sortWithinPartitions("token", "n", "doc").mapInArrow(_neighbours, "a long, b long, na long, nb long")
     seeds = star.union(chain).where(fits).select("a", "b").distinct()
     links = scratch.keep(_verify(seeds, sets, percent), "links")

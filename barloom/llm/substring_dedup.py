@@ -38,6 +38,8 @@ ROWS = 2
 #: Sketch cells for each byte of the planner's estimate of the input.
 PER_BYTE = 1.0
 NOWHERE = 2**64 - 2
+#: Windows at most, about, for each task that groups them, a quarter of them at a time.
+PER_TASK = 4 << 20
 
 
 def _slide(values: np.ndarray, size: int, least: bool) -> np.ndarray:
@@ -79,13 +81,13 @@ class Windows:
         most = _slide(least[::-1], self.reach, False)[::-1]
         return (most == self.value) & (self.value != NOWHERE)
 
-    def repeated(self, packed: np.ndarray, cells: int) -> np.ndarray:
+    def repeated(self, levels: sketch.Levels) -> np.ndarray:
         """Starts of the windows whose estimated count is 2 or more."""
         if not len(self.value):
             return np.zeros(0, dtype=np.int64)
         at = np.flatnonzero(self._chosen())
         flagged = self.value.copy()
-        flagged[at] |= (sketch.levels(packed, self.value[at], cells, ROWS) > 0).astype(np.uint64)
+        flagged[at] |= (levels.of(self.value[at]) > 0).astype(np.uint64)
         least = _slide(flagged, self.reach, True)
         return np.flatnonzero(self.starts & ((least & U64(1)) == 1))
 
@@ -99,11 +101,11 @@ ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i4"), ("pos", "<u4")])
 _BLOB = "bucket int, ids binary, marks binary, entries binary"
 
 
-def _send(broadcast, cells: int, size: int, buckets: int):
+def _send(broadcast, size: int, buckets: int):
     """Estimated windows of each run of documents, by bucket of their hash; one entry where a run has several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = broadcast.value
+        levels = broadcast.value
         held: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         marks: list[np.ndarray] = []
@@ -137,7 +139,7 @@ def _send(broadcast, cells: int, size: int, buckets: int):
             key, mark = batch.column("key").to_numpy(), batch.column("mark").to_numpy()
             for lo, hi, words in word_blocks(batch.column("text")):
                 seen = Windows(words, size)
-                at = seen.repeated(packed, cells)
+                at = seen.repeated(levels)
                 if not len(at):
                     continue
                 part = np.empty(len(at), dtype=ENTRY)
@@ -206,20 +208,24 @@ def remove_repeats(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
     # A row is known by its id and a hash of its text; rows that agree in both have no single window.
     rows = rows.withColumns({"key": F.coalesce("doc_id", F.lit(-(2**63))), "mark": F.xxhash64("text")})
     cells = sketch.cells_for(docs.select(text_col), per_byte)
-    packed = spark.sparkContext.broadcast(sketch.build(rows, lambda words: Windows(words, size).keys(), cells, ROWS))
-    n = shuffle_partitions(spark)
-    sent = rows.select("key", "mark", "text").mapInArrow(_send(packed, cells, size, n), _BLOB)
+    built = sketch.build(rows, lambda words: Windows(words, size).keys(), cells, ROWS)
+    levels = spark.sparkContext.broadcast(built)
+    # A bucket is sorted by one worker, so buckets grow with the keys counted: even if every window were sent, each would hold about 20 MB.
+    windows = built.counted * (size - max(1, size * 4 // 7) + 2) // 2
+    n = max(shuffle_partitions(spark), windows // PER_TASK)
+    buckets = 4 * n
+    sent = rows.select("key", "mark", "text").mapInArrow(_send(levels, size, buckets), _BLOB)
     single = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_singles, "key long, mark long, pos int")
     single = Scratch(spark, "repeats").keep(single, "single").groupBy("key", "mark").agg(F.collect_list("pos").alias("single"))
     joined = rows.join(single, ["key", "mark"], "left").select("doc_id", "text", "single")
 
     def make():
-        levels = packed.value
+        known = levels.value
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             singles = batch.column("single")
             for lo, hi, words in word_blocks(batch.column("text")):
-                at = Windows(words, size).repeated(levels, cells)
+                at = Windows(words, size).repeated(known)
                 marked = np.zeros(len(words.start), dtype=bool)
                 marked[at] = True
                 part = singles.slice(lo, hi - lo)
