@@ -9,7 +9,8 @@ store holds
 ``recipes``   a document's digests in order, the Merkle root over them, and
               ``start``, the ids of all documents before it by ascending id,
               in parts of about ``PART`` ids;
-``manifest``  of each part: documents, ids, and the Merkle root of their roots.
+``manifest``  of each part: documents, ids, and the Merkle root of their roots;
+``layout``    the number of buckets of the chunks.
 
 Reading sends each part the chunks that it needs once, so a chunk that a third
 of all documents share moves once for each part, and checks every digest and
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Scratch, documents, map_arrow, texts
+from .common import Scratch, documents, map_arrow, shuffle_partitions, texts
 from .ranking import ranked
 from .words import PLAIN, U64, Words, blocks, mix, runs, spans
 
@@ -44,6 +45,8 @@ PART = 1 << 21
 #: Parts under one node of the manifest's upper tree.
 FAN = 1 << 12
 CACHE = 1 << 20
+#: Digests of a task's chunks that it remembers.
+SEEN = 1 << 17
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[list(b".,;:!?")] = True
 _ASCII = ~PLAIN
@@ -245,7 +248,7 @@ def write_store(docs: DataFrame, place: str, tokenizer_path: str, end: int = 1,
                 ids, bounds = coder.encode(data, edges, end)
                 raw = memoryview(ids.astype(kind)).cast("B")
                 roots, recipes, fresh, held, ends_at = [], [], [], [], [0]
-                if len(seen) > CACHE:
+                if len(seen) > SEEN:
                     seen.clear()
                 for d, ends in enumerate(cuts(ids, bounds)):
                     own, a = [], int(bounds[d])
@@ -271,7 +274,10 @@ def write_store(docs: DataFrame, place: str, tokenizer_path: str, end: int = 1,
     made = map_arrow(texts(docs, id_col, text_col), "doc_id long, n_tokens long, width int, root binary, digests binary, fresh array<int>, chunks array<binary>", make)
     made = scratch.keep(made, "encoded")
     chunks = made.select("digests", F.inline(F.arrays_zip("fresh", "chunks"))).select(F.expr("substring(digests, 16 * fresh + 1, 16)").alias("digest"), F.col("chunks").alias("ids"))
-    chunks.dropDuplicates(["digest"]).write.parquet(f"{place}/chunks")
+    # In buckets by digest, so that readers join the chunks where they lie.
+    buckets = shuffle_partitions(spark)
+    chunks.dropDuplicates(["digest"]).write.format("parquet").option("path", f"{place}/chunks").bucketBy(buckets, "digest").saveAsTable(_table_name(place))
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{place}/layout")
     recipes = scratch.keep(made.drop("fresh", "chunks"), "recipes")
     scratch.drop("encoded")
     placed = ranked(recipes, ["doc_id", "root"], scratch, "placed", weight=F.col("n_tokens")).withColumnRenamed("before", "start")
@@ -296,10 +302,24 @@ def write_store(docs: DataFrame, place: str, tokenizer_path: str, end: int = 1,
     return merkle([bytes(r.leaf) for r in tops]).hex()  # 16 bytes for each FAN * PART ids
 
 
+def _table_name(place: str) -> str:
+    return f"barloom_chunks_{digest(place.encode()).hex()}"
+
+
+def _chunks(spark: SparkSession, place: str) -> DataFrame:
+    """The chunks as a table of this session, which knows their buckets."""
+    name = _table_name(place)
+    if not spark.catalog.tableExists(name):
+        buckets = spark.read.parquet(f"{place}/layout").first()["buckets"]
+        where = place.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} (digest BINARY, ids BINARY) USING parquet CLUSTERED BY (digest) INTO {buckets} BUCKETS LOCATION '{where}/chunks'")
+    return spark.table(name)
+
+
 def read_store(spark: SparkSession, place: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the store, verified; ids as little-endian 32-bit numbers."""
     recipes = spark.read.parquet(f"{place}/recipes")
-    chunks = spark.read.parquet(f"{place}/chunks")
+    chunks = _chunks(spark, place)
     needs = recipes.select(F.col("part").alias("of_part"), F.explode(_digests("digests")).alias("digest")).distinct().join(chunks, "digest")
     proof = spark.read.parquet(f"{place}/manifest").select("part", F.col("root").alias("proof"))
 
