@@ -10,9 +10,9 @@ fingerprints is the share of equal parts among those that either fills.
 
 Frequencies cover all documents.  A word in the band is in at least N / e^9
 documents, so the lexicon is bounded by the mean number of distinct words times
-e^9, whatever N is.  Up to ``BOUND`` words it goes into the plan as a table of
-hash slots, and a text is then looked up within its own row; beyond that, words
-are joined with it by shuffle.
+e^9, whatever N is.  Up to ``BOUND`` words it is broadcast, and a text's words
+then never leave the task that holds the text; beyond that, words are joined
+with it by shuffle.
 
 Defined results: null and empty texts, and others without a word of any random
 lexicon, take the hash of all their words as their one part, so that equal
@@ -33,9 +33,8 @@ from .ranking import ranked
 BAND = (2.0, 9.0)
 FAMILIES = 8
 LEVELS = 8
-#: Words of a lexicon that is looked up within the row: 2.7 MB as text.
-BOUND = 1 << 17
-SLOTS = 1 << 15
+#: Words of a lexicon that is broadcast: 8 MB, and a few times that as a hash table.
+BOUND = 1 << 20
 NO_ID = -(2**63)
 
 
@@ -52,14 +51,6 @@ def lexicon(rows: DataFrame, scratch: Scratch, band: tuple[float, float] = BAND)
     return scratch.keep(counts.where((idf >= band[0]) & (idf <= band[1])).select("word"), "lexicon")
 
 
-def slot_table(lex: DataFrame) -> Column:
-    """The lexicon as a constant array of ``SLOTS`` arrays of words, folded when the plan is made."""
-    every = lex.sparkSession.range(SLOTS).select("id", F.lit(None).cast("long").alias("word"))
-    slots = every.unionByName(lex.select(F.pmod("word", F.lit(SLOTS)).alias("id"), "word")).groupBy("id").agg(F.collect_list("word").alias("words"))
-    row = slots.agg(F.sort_array(F.collect_list(F.struct("id", "words"))).alias("all")).select(F.to_json(F.transform("all", lambda s: s["words"])).alias("json"))
-    return F.from_json(F.lit(row.first()["json"]), "array<array<bigint>>")
-
-
 def low_half(words: Column) -> Column:
     """The low 32 bits of the hash of an array of words."""
     return F.shiftright(F.shiftleft(F.xxhash64(words), 32), 32).cast("int")
@@ -69,14 +60,14 @@ class Printer:
     """Adds fingerprint columns by one lexicon."""
 
     def __init__(self, lex: DataFrame, bound: int = BOUND):
-        self.lex = lex
-        self.table = slot_table(lex) if lex.count() <= bound else None
+        self.lex = F.broadcast(lex) if lex.count() <= bound else lex
 
     def _terms(self, df: DataFrame, keys: list[str]) -> DataFrame:
-        """``__terms``: the sorted words of ``__words`` that the lexicon holds."""
-        if self.table is not None:
-            held = F.filter("__words", lambda w: F.array_contains(self.table[F.pmod(w, F.lit(SLOTS)).cast("int")], w))
-            return df.withColumn("__terms", F.sort_array(held))
+        """``__terms``: the sorted words of ``__words`` that the lexicon holds.
+
+        Rows that are dealt by ``keys`` stay where they are while the lexicon is
+        broadcast: words leave their row and come back to it in one task.
+        """
         names = [f"__key{k}" for k in range(len(keys))]
         words = df.select(*(F.col(c).alias(n) for c, n in zip(keys, names)), F.explode("__words").alias("word"))
         found = words.join(self.lex, "word").groupBy(*names).agg(F.sort_array(F.collect_set("word")).alias("__found"))
