@@ -6,7 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .kernel import order, indicator, rows
+from ..functions.averages import add_recursive
+from ..plans.slices import deal
+from .kernel import indicator, order, reach, rows
 
 #: The output's columns in their order.
 FEATURES = (
@@ -40,14 +42,18 @@ def average_reach(span: int) -> int:
     return math.ceil(math.log(1e-15) / math.log(rest)) if rest else 1
 
 
-def expand(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int = 20, span: int = 5) -> DataFrame:
-    """(series, ts, the 43 features) of an indicator frame."""
-    if not 0 < down < up < 1 or window < 1 or span < 1:
+def look_back(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int = 20) -> DataFrame:
+    """An indicator frame with all features but those that count bars, and the numbers of the last bars of their events."""
+    if not 0 < down < up < 1 or window < 1:
         raise ValueError("levels must satisfy 0 < down < up < 1 and windows be positive")
     r, w = F.col("rsi"), rows(1 - window)
-    x = df.withColumn("rn", F.row_number().over(order())).withColumn("regime", F.when(r < down, 0).when(r > up, 2).otherwise(1).cast("long"))
+    own = F.col("own") if "own" in df.columns else F.lit(True)
+    base = F.col("base") if "base" in df.columns else F.lit(0)
+    upto = order().rowsBetween(Window.unboundedPreceding, 0)
+    # In a slice, bars are numbered as in the whole series, and events count on the slice's own bars only.
+    x = df.withColumn("rn", base + F.sum(own.cast("long")).over(upto)).withColumn("regime", F.when(r < down, 0).when(r > up, 2).otherwise(1).cast("long"))
     was = back("rsi")
-    since = lambda c: F.col("rn") - F.coalesce(F.last(F.when(c, F.col("rn")), ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    latest = lambda c: F.max(F.when(c & own, F.col("rn"))).over(upto)
     x = x.withColumns({
         "regime_bearish": flag(F.col("regime") == 0), "regime_neutral": flag(F.col("regime") == 1), "regime_bullish": flag(F.col("regime") == 2),
         "regime_changed": flag(F.col("regime") != back("regime")),
@@ -56,7 +62,7 @@ def expand(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int = 20
         "abs_dist_overbought": F.abs(r - up), "abs_dist_oversold": F.abs(r - down),
         "cross_above_oversold": flag((was <= down) & (r > down)), "cross_below_overbought": flag((was >= up) & (r < up)),
         "cross_above_midline": flag((was <= 0.5) & (r > 0.5)), "cross_below_midline": flag((was >= 0.5) & (r < 0.5)),
-        "bars_since_oversold": since(r < down).cast("long"), "bars_since_overbought": since(r > up).cast("long"),
+        "at_oversold": latest(r < down), "at_overbought": latest(r > up),
         "rsi_change_1": r - was, "rsi_change_5": r - back("rsi", 5),
         "rsi_percentile_20": F.size(F.filter(F.collect_list("rsi").over(w), lambda v: v < r)) / F.size(F.collect_list("rsi").over(w)) * 100,
         "mean": F.avg("rsi").over(w), "rsi_volatility_20": F.coalesce(F.stddev_samp("rsi").over(w), F.lit(0.0)),
@@ -68,13 +74,10 @@ def expand(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int = 20
         "atr_range_width": (F.col("max_atr") - F.col("min_atr")) / (F.col("max_atr") + 1e-10),
         "cycle_phase": F.when((F.col("l0") > F.col("l1")) & (F.col("l2") > F.col("l3")), 2).when(F.col("l0") > F.col("l1"), 1).when(F.col("l2") > F.col("l3"), 3).otherwise(0).cast("long"),
     })
-    alpha = 2 / (span + 1)
-    ema = F.aggregate(F.collect_list("rsi_change_1").over(rows(-average_reach(span))), F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(a + alpha * (v - a)))
-    run = F.sum("regime_changed").over(order().rowsBetween(Window.unboundedPreceding, 0))
     hundred = rows(-99)
     path = F.sum("dc").over(w)
     x = x.withColumns({
-        "island": run, "rsi_velocity": ema, "bars_since_extreme": F.least("bars_since_oversold", "bars_since_overbought"),
+        "at_change": latest(F.col("regime_changed") == 1),
         "rsi_zscore_20": (r - F.col("mean")) / one_if_zero(F.col("rsi_volatility_20")),
         "rsi_shock_1bar": flag(F.abs("rsi_change_1") > 0.3),
         "rsi_volatility_spike": flag((F.count("rsi_volatility_20").over(hundred) >= 20) & (F.col("rsi_volatility_20") > F.avg("rsi_volatility_20").over(hundred) + 2 * F.stddev_samp("rsi_volatility_20").over(hundred))),
@@ -82,11 +85,51 @@ def expand(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int = 20
         "efficiency_ratio": F.least(F.greatest(F.col("far") / one_if_zero(path), F.lit(0.0)), F.lit(1.0)),
         "cycle_phase_changed": flag(F.col("cycle_phase") != back("cycle_phase")),
     })
-    x = x.withColumn("bars_in_regime", F.row_number().over(Window.partitionBy("series", "island").orderBy("ts")).cast("long"))
-    x = x.withColumns({"extreme_regime_persistence": flag((F.col("regime") != 1) & (F.col("bars_in_regime") > 10)), "efficiency_trend": flag(F.col("efficiency_ratio") > 0.5)})
+    return x.withColumn("efficiency_trend", flag(F.col("efficiency_ratio") > 0.5))
+
+
+EVENTS = ("at_oversold", "at_overbought", "at_change")
+
+
+def count_bars(x: DataFrame) -> DataFrame:
+    """(series, ts, the 43 features): what counts bars since an event, and what follows from it."""
+    x = x.withColumns({
+        "bars_since_oversold": F.col("rn") - F.coalesce("at_oversold", F.lit(0)), "bars_since_overbought": F.col("rn") - F.coalesce("at_overbought", F.lit(0)),
+        "bars_in_regime": F.col("rn") - F.coalesce("at_change", F.lit(1)) + 1,
+    })
+    x = x.withColumns({"bars_since_extreme": F.least("bars_since_oversold", "bars_since_overbought"), "extreme_regime_persistence": flag((F.col("regime") != 1) & (F.col("bars_in_regime") > 10))})
     risk = 0.4 * F.col("rsi_shock_1bar") + 0.3 * F.col("extreme_regime_persistence") + 0.3 * F.col("rsi_volatility_spike")
     return x.withColumn("tail_risk_score", F.least(F.greatest(risk, F.lit(0.0)), F.lit(1.0))).select("series", "ts", *FEATURES)
 
 
-def features(bars: DataFrame, period: int = 14, offset: float = 0.75) -> DataFrame:
-    return expand(indicator(bars, period, offset))
+def expand(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int = 20, span: int = 5) -> DataFrame:
+    """(series, ts, the 43 features) of an indicator frame; of one made with another span than 5, the same ``span``."""
+    if span < 1:
+        raise ValueError("a span is one bar or more")
+    if span != 5:
+        df = add_recursive(df, "rsi_velocity", F.col("rsi") - back("rsi"), 2 / (span + 1), "first", 1)
+    return count_bars(look_back(df, up, down, window))
+
+
+def halo(period: int = 14, offset: float = 0.75, window: int = 20, span: int = 5) -> int:
+    """Bars before a slice on which its values depend."""
+    return period + reach(period, offset) + max(average_reach(span), 100 + window) + 1
+
+
+def features(bars: DataFrame, period: int = 14, offset: float = 0.75, up: float = 0.85, down: float = 0.15, window: int = 20, span: int = 5, minutes: int | None = None, per: int = 16384) -> DataFrame:
+    """(series, ts, the 43 features) of bars.
+
+    With ``minutes``, the bars' width, long series are cut into slices of ``per``
+    bars, each a task's work: within a slice, values equal those of the whole
+    series to about 1e-15, and bars since an event beyond it come from a table
+    with a row for each slice.
+    """
+    if minutes is None:
+        return count_bars(look_back(indicator(bars, period, offset, span), up, down, window))
+    x = look_back(indicator(deal(bars, minutes, halo(period, offset, window, span), per), period, offset, span), up, down, window).where("own")
+    key = [F.col("series.series").alias("of"), F.col("series.slice").alias("slice")]
+    ends = x.groupBy("series").agg(*(F.max(c).alias(c) for c in EVENTS)).select(*key, *EVENTS)
+    before = Window.partitionBy("of").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.struct(F.col("of").alias("series"), "slice").alias("series"), *(F.max(c).over(before).alias(f"{c}_before") for c in EVENTS))
+    x = x.join(ends, "series").withColumns({c: F.coalesce(c, f"{c}_before") for c in EVENTS})
+    return count_bars(x.withColumn("series", F.col("series.series")))

@@ -1,22 +1,30 @@
-"""True range, its averages, and the adaptive Laguerre oscillator, as window expressions.
+"""True range, its averages, and the adaptive Laguerre oscillator.
 
-The filter's state after a bar depends on all bars before, but with a factor
-gamma of at most 1 - 10 / (1.75 P + 9) for each step.  ``reach`` bars
-are folded from a zero state; what lies further back weighs less than 1e-15, so
-no series must be walked from its start and rows are independent of each other.
+Everything but the filter is window expressions.  The filter's state after a
+bar depends on all bars before, but with a factor gamma of at most
+1 - 10 / (1.75 P + 9) for each step: what lies ``reach`` bars back weighs less
+than 1e-15, so a slice of a series may start from zero that much earlier.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..plans.scan import scan, spread
+
+#: Gaps between stages, relative to the stages, that count as none.  On a flat
+#: tail the gaps become rounding residue, whose signs mean nothing and depend on
+#: where the fold began; below this bound they are taken as settled.
+SETTLED = 1e-12
+
+
 def order():
     return Window.partitionBy("series").orderBy("ts")
 
 
-
 def rows(a: int, b: int = 0):
     return order().rowsBetween(a, b)
 
@@ -49,26 +57,64 @@ def volatility(df: DataFrame, period: int = 14, offset: float = 0.75) -> DataFra
     return out.withColumn("gamma", 1 - 10 / (period * (F.col("adaptive_coeff") + offset) + 9)).drop("trs", "ends")
 
 
-def laguerre(df: DataFrame, period: int = 14, offset: float = 0.75, price: str = "close", gamma: str = "gamma") -> DataFrame:
-    """Adds l0 to l3 and rsi."""
-    zero = F.struct(*(F.lit(0.0).alias(f"l{k}") for k in range(4)))
-
-    def step(a, x):
-        p, g = x["p"], x["g"]
-        l0 = p + g * (a["l0"] - p)
-        l1 = a["l0"] + g * (a["l1"] - l0)
-        l2 = a["l1"] + g * (a["l2"] - l1)
-        return F.struct(l0.alias("l0"), l1.alias("l1"), l2.alias("l2"), (a["l2"] + g * (a["l3"] - l2)).alias("l3"))
-
-    # A struct holds its fields by reference, so each stage is one pass that the next reads.
-    past = F.collect_list(F.struct(F.col(price).alias("p"), F.col(gamma).alias("g"))).over(rows(-reach(period, offset)))
-    out = df.withColumn("state", F.aggregate(past, zero, step)).select(*df.columns, *(F.col(f"state.l{k}").alias(f"l{k}") for k in range(4)))
-    gaps = [F.col("l0") - F.col("l1"), F.col("l1") - F.col("l2"), F.col("l2") - F.col("l3")]
-    up = sum((F.greatest(g, F.lit(0.0)) for g in gaps), F.lit(0.0))
-    down = sum((F.greatest(-g, F.lit(0.0)) for g in gaps), F.lit(0.0))
-    return out.withColumn("rsi", F.when(up + down == 0, 0.0).otherwise(up / F.nullif(up + down, F.lit(0.0))))
-
-
-def indicator(df: DataFrame, period: int = 14, offset: float = 0.75) -> DataFrame:
+def filter_stages(seeded: bool = False, span: int = 5):
+    """For ``scan``: a function of arrays (price, gamma) to l0 to l3, rsi and its velocity (the average, of ``span``, of its changes)."""
+    alpha = 2 / (span + 1)
+
+    def make():
+        state, known = [0.0] * 4, []
+
+        def work(price: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, ...]:
+            a, b, c, d = state
+            if seeded and not known and len(price):
+                a = b = c = d = float(price[0])
+            out = np.empty((len(price), 4))
+            rows = []
+            for p, g in zip(price.tolist(), gamma.tolist(), strict=True):
+                if p == p and g == g:  # a bar without a price leaves the state as it is
+                    a0, b0, c0 = a, b, c
+                    a = p + g * (a - p)
+                    b = a0 + g * (b - a)
+                    c = b0 + g * (c - b)
+                    d = c0 + g * (d - c)
+                rows.append((a, b, c, d))
+            out[:] = rows if rows else out
+            state[:] = a, b, c, d
+            gaps = out[:, :-1] - out[:, 1:]
+            gaps[np.abs(gaps) <= SETTLED * (np.abs(out[:, :-1]) + np.abs(out[:, 1:]))] = 0.0
+            up, moved = np.maximum(gaps, 0).sum(axis=1), np.abs(gaps).sum(axis=1)
+            rsi = np.where(moved == 0, 0.0, up / np.where(moved == 0, 1.0, moved))
+            last, velocity = known if known else (rsi[0] if len(rsi) else 0.0, 0.0)
+            speed = []
+            for change in np.diff(rsi, prepend=last).tolist():
+                velocity += alpha * (change - velocity)
+                speed.append(velocity)
+            if len(rsi):
+                known[:] = float(rsi[-1]), velocity
+            return (*out.T, rsi, np.array(speed))
+
+        return work
+
+    return make
+
+
+STAGES = ("l0", "l1", "l2", "l3", "rsi", "rsi_velocity")
+
+
+def laguerre(df: DataFrame, period: int = 14, offset: float = 0.75, price: str = "close", gamma: str = "gamma", seeded: bool = False, span: int = 5) -> DataFrame:
+    """Adds l0 to l3, rsi and rsi_velocity; stages start from zero or, ``seeded``, from the first price."""
+    out = scan(df, "__stages", filter_stages(seeded, span), [F.col(price).cast("double"), F.col(gamma).cast("double")], dict.fromkeys(STAGES, "double"))
+    return spread(out, "__stages", STAGES)
+
+
+def fixed_period(df: DataFrame, period: float, price: str = "close") -> DataFrame:
+    """Adds l0 to l3 and rsi of a filter of one constant period, whose stages start from the first price."""
+    if period <= 0:
+        raise ValueError("a period is positive")
+    out = laguerre(df.withColumn("__gamma", F.lit(1.0 - 10.0 / (period + 9.0))), price=price, gamma="__gamma", seeded=True)
+    return out.drop("__gamma", "rsi_velocity")
+
+
+def indicator(df: DataFrame, period: int = 14, offset: float = 0.75, span: int = 5) -> DataFrame:
     """All of the above, for bars (series, ts, open, high, low, close, volume)."""
-    return laguerre(volatility(df, period, offset), period, offset)
+    return laguerre(volatility(df, period, offset), period, offset, span=span)

@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.columns import fresh, from_seconds, seconds
 from .features import FEATURES, features, flag
 from .kernel import order, rows
 
-#: Redundant columns that ``prune`` drops by default.
+#: The 40 interactions in their order.
+INTERACTIONS = (
+    "all_intervals_bullish all_intervals_bearish all_intervals_neutral regime_agreement_count regime_majority regime_unanimity "
+    "base_bull_higher_bear base_bear_higher_bull divergence_strength divergence_direction base_extreme_higher_neutral base_neutral_higher_extreme "
+    "gradient_up gradient_down rsi_spread_base_mult1 rsi_spread_base_mult2 rsi_spread_mult1_mult2 momentum_direction momentum_magnitude momentum_consistency "
+    "any_interval_crossed_overbought all_intervals_crossed_overbought any_interval_crossed_oversold all_intervals_crossed_oversold "
+    "base_crossed_while_higher_extreme cascade_crossing_up cascade_crossing_down higher_crossed_first regime_persistence_ratio regime_change_cascade "
+    "regime_stability_score bars_since_alignment alignment_duration higher_interval_leads regime_transition_pattern "
+    "mean_rsi_across_intervals std_rsi_across_intervals rsi_range_across_intervals rsi_skew_across_intervals interval_momentum_agreement"
+).split()
+#: The 48 redundant columns that ``prune`` drops by default.
 REDUNDANT = (
     "all_intervals_bearish all_intervals_crossed_overbought all_intervals_crossed_oversold all_intervals_neutral cascade_crossing_up gradient_up "
     "bars_since_overbought_mult1 bars_since_oversold_mult2 cascade_crossing_down cross_above_oversold_mult2 "
     "dist_midline_base dist_midline_mult1 dist_midline_mult2 dist_overbought_base dist_overbought_mult1 dist_overbought_mult2 "
-    "dist_oversold_base dist_oversold_mult1 dist_oversold_mult2 higher_crossed_first momentum_direction"
+    "dist_oversold_base dist_oversold_mult1 dist_oversold_mult2 higher_crossed_first momentum_direction "
+    "regime_base regime_bullish_mult1 regime_change_cascade regime_changed_base regime_changed_mult2 regime_mult1 regime_neutral_base regime_neutral_mult1 "
+    "regime_persistence_ratio regime_strength_base regime_strength_mult1 regime_strength_mult2 regime_transition_pattern regime_unanimity "
+    "rsi_base rsi_mult1 rsi_mult2 rsi_percentile_20_mult1 rsi_range_across_intervals rsi_skew_across_intervals rsi_spread_base_mult2 rsi_spread_mult1_mult2 "
+    "rsi_velocity_base rsi_velocity_mult1 rsi_volatility_20_base rsi_zscore_20_base rsi_zscore_20_mult1"
 ).split()
 
 
@@ -21,10 +36,11 @@ def resample(bars: DataFrame, m: int, minutes: int) -> DataFrame:
     if m < 2:
         raise ValueError("a multiplier is 2 or more")
     width = m * minutes * 60
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    origin = F.unix_seconds(F.date_trunc("day", F.min("ts").over(Window.partitionBy("series"))).cast("timestamp"))
+    at = seconds("ts")
+    days = bars.groupBy("series").agg((F.min(seconds(F.col("ts"))) / 86400).cast("long").alias("day"))
+    origin = F.col("day") * 86400
     start = origin + F.floor((at - origin) / width) * width
-    out = bars.withColumn("bar", F.timestamp_seconds(start).cast("timestamp_ntz")).groupBy("series", "bar")
+    out = bars.join(days, "series").withColumn("bar", from_seconds(start)).groupBy("series", "bar")
     out = out.agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("n"), F.max("ts").alias("last"))
     return out.where(F.col("n") == m).select("series", F.col("bar").alias("ts"), "open", "high", "low", "close", "volume", F.expr(f"last + INTERVAL {minutes} MINUTES").alias("ready"))
 
@@ -44,12 +60,53 @@ def as_of(base: DataFrame, higher: DataFrame, names: list[str], suffix: str, tim
     return seen.select(*base.columns, "__v.*")
 
 
-def prune(df: DataFrame, names=REDUNDANT) -> DataFrame:
-    return df.drop(*[c for c in names if c in df.columns])
+def redundant(n_features: int = 169) -> list[str]:
+    """The names that ``prune`` drops by default; a single interval has none of them."""
+    return list(REDUNDANT) if n_features > len(FEATURES) else []
+
+
+def size_after_pruning(n_features: int) -> int:
+    """Columns left of a table of 43 or 169; other sizes stay as they are."""
+    whole = 3 * len(FEATURES) + len(INTERACTIONS)
+    return whole - len(REDUNDANT) if n_features == whole else n_features
+
+
+def prune(df: DataFrame, names=REDUNDANT, apply: bool = True) -> DataFrame:
+    """``df`` without those of ``names`` that it has."""
+    return df.drop(*[c for c in names if c in df.columns]) if apply else df
+
+
+def correlation_prune(df: DataFrame, columns: list[str], most: float = 0.9) -> list[str]:
+    """The columns to drop so that no two left have an absolute rank correlation above ``most``; the earlier of two stays.
+
+    Ranks are averages over ties, one range-partitioned pass for each column;
+    nulls leave a row out of that column's pairs.  Only the matrix of
+    correlations, columns squared, reaches the driver.
+    """
+    from ..plans.ranks import average_ranks
+
+    if not columns:
+        return []
+    ranked = df.select(F.monotonically_increasing_id().alias("__row"), *columns)
+    for c in columns:
+        ranked = average_ranks(ranked, c, f"__rank_{c}")
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
+    if not pairs:
+        return []
+    got = ranked.agg(*(F.corr(f"__rank_{a}", f"__rank_{b}").alias(f"c{k}") for k, (a, b) in enumerate(pairs))).first()
+    gone: list[str] = []
+    for k, (a, b) in enumerate(pairs):
+        if a not in gone and b not in gone and got[k] is not None and abs(got[k]) > most:
+            gone.append(b)
+    return gone
 
 
 def interactions(df: DataFrame) -> DataFrame:
-    """Adds the 40 interactions of columns with the suffixes _base, _mult1 and _mult2."""
+    """Adds the 40 interactions of columns with the suffixes _base, _mult1 and _mult2.
+
+    All 40 are null until all three intervals are known; counts start there,
+    and rows before count as no crossing and no change.
+    """
     c = lambda name: [F.col(f"{name}_{k}") for k in ("base", "mult1", "mult2")]
     g, r, chg, ob, os_, moved = c("regime"), c("rsi"), c("rsi_change_1"), c("cross_below_overbought"), c("cross_above_oversold"), c("regime_changed")
     same = (g[0] == g[1]) & (g[1] == g[2])
@@ -85,19 +142,74 @@ def interactions(df: DataFrame) -> DataFrame:
         "rsi_skew_across_intervals": (r[0] - mean) / F.when(std == 0, 1.0).otherwise(std),
         "interval_momentum_agreement": sum((flag(x > 0) for x in chg[1:]), flag(chg[0] > 0)),
     })
+    known = g[0].isNotNull() & g[1].isNotNull() & g[2].isNotNull()
     upto = order().rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("__n", F.row_number().over(order())).withColumns({"__yes": F.max(F.when(F.col("regime_unanimity") == 1, F.col("__n"))).over(upto), "__no": F.max(F.when(F.col("regime_unanimity") == 0, F.col("__n"))).over(upto)})
-    return out.withColumns({"bars_since_alignment": (F.col("__n") - F.coalesce("__yes", F.lit(0))).cast("long"), "alignment_duration": (F.col("__n") - F.coalesce("__no", F.lit(0))).cast("long")}).drop("__n", "__yes", "__no")
+    (n,) = fresh(df, "n")
+    out = out.withColumn(n, F.sum(known.cast("long")).over(upto))
+    last = lambda v: F.coalesce(F.max(F.when(known & (F.col("regime_unanimity") == v), F.col(n))).over(upto), F.lit(0))
+    out = out.withColumns({"bars_since_alignment": F.col(n) - last(1), "alignment_duration": F.col(n) - last(0)})
+    return out.select(*df.columns, *(F.when(known, F.col(c)).alias(c) for c in INTERACTIONS))
+
 
+ALIGNMENTS = ("availability", "label", "positional")
 
-def multi_features(bars: DataFrame, minutes: int, m1: int = 4, m2: int = 12, period: int = 14) -> DataFrame:
-    """(series, ts) and 3 x 43 + 40 columns; a base bar sees only higher bars that ended before its own end."""
-    if not 2 <= m1 < m2:
-        raise ValueError("multipliers must satisfy 2 <= m1 < m2")
-    base = features(bars, period).withColumn("ready", F.expr(f"ts + INTERVAL {minutes} MINUTES"))
-    out = base.select("series", "ts", "ready", *(F.col(c).alias(f"{c}_base") for c in FEATURES))
+
+def align(base: DataFrame, higher: DataFrame, names: list[str], suffix: str, how: str = "availability", clamp_first: bool = False) -> DataFrame:
+    """Adds to each base row a row of the higher interval.
+
+    ``availability``: the latest that was ready before the base row's own end
+    (no look-ahead).  ``label``: the latest whose window began by the base
+    row's start; its values are those of the whole window, so they look ahead.
+    ``positional``: base row i takes higher row i, and the last one beyond; that
+    looks ahead too, and exists for parity only.  Rows before the first match
+    are null or, with ``clamp_first``, take the first higher row.
+    """
+    if how not in ALIGNMENTS:
+        raise ValueError(f"alignment is one of {', '.join(ALIGNMENTS)}")
+    if how == "availability":
+        out = as_of(base, higher, names, suffix)
+    elif how == "label":
+        out = as_of(base, higher, names, suffix, time="ts", strict=False)
+    else:
+        (at,) = fresh(base, "at")
+        place = lambda df: df.withColumn(at, F.row_number().over(order()))
+        out = as_of(place(base), place(higher), names, suffix, time=at, strict=False).drop(at)
+    if not clamp_first:
+        return out
+    first = higher.groupBy("series").agg(F.min_by(F.struct(*names), "ts").alias("first"))
+    values = [F.coalesce(F.col(f"{c}{suffix}"), F.col(f"first.{c}")).alias(f"{c}{suffix}") for c in names]
+    return out.join(first, "series", "left").select(*base.columns, *values)
+
+
+def least_rows(period: int = 14, smoothing: int = 5, window: int = 20, multiplier: int = 1) -> int:
+    """Base bars that a series needs; ``smoothing`` counts here only, no value depends on it."""
+    return (max(period, smoothing, window) + 10) * multiplier
+
+
+def check_multipliers(m1: int, m2: int) -> None:
+    if not all(isinstance(m, int) and m >= 2 for m in (m1, m2)) or m1 >= m2:
+        raise ValueError("multipliers must be whole numbers with 2 <= m1 < m2")
+
+
+def check_higher_bars(higher: DataFrame, least: int = 30) -> None:
+    """ValueError names a series with fewer than ``least`` complete higher bars."""
+    few = higher.groupBy("series").count().where(F.col("count") < least).orderBy("series").first()
+    if few is not None:
+        raise ValueError(f"series {few.series} has {few['count']} complete higher bars; {least} are needed")
+
+
+def extract(bars: DataFrame, minutes: int, extractor, names: list[str], m1: int = 4, m2: int = 12, how: str = "availability", clamp_first: bool = False) -> DataFrame:
+    """``extractor`` (bars to a frame of series, ts and ``names``) on the base bars and on both higher intervals, side by side."""
+    check_multipliers(m1, m2)
+    base = extractor(bars).withColumn("ready", F.expr(f"ts + INTERVAL {minutes} MINUTES"))
+    out = base.select("series", "ts", "ready", *(F.col(c).alias(f"{c}_base") for c in names))
     for m, name in ((m1, "mult1"), (m2, "mult2")):
-        bigger = resample(bars, m, minutes)
-        own = features(bigger, period).join(bigger.select("series", "ts", "ready"), ["series", "ts"])
-        out = as_of(out, own, FEATURES, f"_{name}")
-    return interactions(out).drop("ready")
+        # What a bar's features know, they know when its window ends.
+        own = extractor(resample(bars, m, minutes)).withColumn("ready", F.expr(f"ts + INTERVAL {m * minutes} MINUTES"))
+        out = align(out, own, names, f"_{name}", how, clamp_first)
+    return out
+
+
+def multi_features(bars: DataFrame, minutes: int, m1: int = 4, m2: int = 12, period: int = 14, how: str = "availability", clamp_first: bool = False) -> DataFrame:
+    """(series, ts) and 3 x 43 + 40 columns; by default a base bar sees only higher bars that ended before its own end."""
+    return interactions(extract(bars, minutes, lambda b: features(b, period), FEATURES, m1, m2, how, clamp_first)).drop("ready")

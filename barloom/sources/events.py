@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.columns import from_seconds, seconds
+
 BAR = "series string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 
 
@@ -13,7 +15,7 @@ def bars(events: DataFrame, minutes: int, series: str = "event_type") -> DataFra
     One partial aggregate and one shuffle of bars; ties of ts go by event_id.
     """
     width = minutes * 60
-    start = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / width) * width).cast("timestamp_ntz")
+    start = from_seconds(F.floor(seconds("ts") / width) * width)
     place = F.struct("ts", "event_id")
     return (
         events.where("value IS NOT NULL AND ts IS NOT NULL")
