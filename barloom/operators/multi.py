@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import fresh, from_seconds, seconds
+from ..plans.ranks import ranked_columns
 from .features import FEATURES, features, flag
 from .kernel import order, rows
 
@@ -76,24 +77,17 @@ def prune(df: DataFrame, names=REDUNDANT, apply: bool = True) -> DataFrame:
     return df.drop(*[c for c in names if c in df.columns]) if apply else df
 
 
-def correlation_prune(df: DataFrame, columns: list[str], most: float = 0.9) -> list[str]:
+def correlation_prune(df: DataFrame, columns: list[str], most: float = 0.9, keys: tuple[str, ...] = ("series", "ts")) -> list[str]:
     """The columns to drop so that no two left have an absolute rank correlation above ``most``; the earlier of two stays.
 
-    Ranks are averages over ties, one range-partitioned pass for each column;
-    nulls leave a row out of that column's pairs.  Only the matrix of
+    Ranks are over the whole table, averages over ties; ``keys`` tell rows
+    apart.  Nulls leave a row out of that column's pairs.  Only the matrix of
     correlations, columns squared, reaches the driver.
     """
-    from ..plans.ranks import average_ranks
-
-    if not columns:
-        return []
-    ranked = df.select(F.monotonically_increasing_id().alias("__row"), *columns)
-    for c in columns:
-        ranked = average_ranks(ranked, c, f"__rank_{c}")
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
     if not pairs:
         return []
-    got = ranked.agg(*(F.corr(f"__rank_{a}", f"__rank_{b}").alias(f"c{k}") for k, (a, b) in enumerate(pairs))).first()
+    got = ranked_columns(df, columns, list(keys)).agg(*(F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs))).first()
     gone: list[str] = []
     for k, (a, b) in enumerate(pairs):
         if a not in gone and b not in gone and got[k] is not None and abs(got[k]) > most:

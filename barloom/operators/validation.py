@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.ranks import average_ranks
+from ..plans.ranks import ranked_columns
 from .kernel import order, rows
 
 #: Least rows beyond the horizon, and least valid pairs, of an information coefficient.
@@ -33,8 +33,8 @@ def information_coefficient(df: DataFrame, feature: str, price: str = "close", a
     own = df.select("series", "ts", sane(F.col(feature).cast("double")).alias("x"), sane(ahead_return(price, ahead, log)).alias("y"))
     bars = own.groupBy("series").agg(F.count("*").alias("bars"))
     pairs = own.where("x IS NOT NULL AND y IS NOT NULL")
-    ranked = average_ranks(average_ranks(pairs, "x", "rx", ("series",)), "y", "ry", ("series",))
-    ic = ranked.groupBy("series").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("ic")).join(bars, "series", "right")
+    ranked = ranked_columns(pairs, ["x", "y"], ["series", "ts"], ("series",))
+    ic = ranked.groupBy("series").agg(F.count("*").alias("n"), F.corr("x", "y").alias("ic")).join(bars, "series", "right")
     enough = (F.col("bars") >= ahead + least) & (F.col("n") >= least)
     return ic.select("series", F.coalesce("n", F.lit(0)).alias("n"), F.when(enough & ~F.isnan("ic"), F.col("ic")).alias("ic"))
 

@@ -16,7 +16,7 @@ def resample(of: str, to: str, m: int) -> str:
     FROM {to}0 GROUP BY series, time_bucket(INTERVAL {m} HOUR, ts, origin) HAVING count(*) = {m})"""
 
 
-def volatility(of: str = "b", to: str = "v", period: int = 14) -> str:
+def volatility(of: str = "b", to: str = "v", period: int = 14, offset: float = 0.75) -> str:
     return f"""{to}_t AS (
     SELECT *, row_number() OVER w AS rn,
            CASE WHEN lag(close) OVER w IS NULL THEN high - low ELSE greatest(high, lag(close) OVER w) - least(low, lag(close) OVER w) END AS tr
@@ -28,7 +28,7 @@ def volatility(of: str = "b", to: str = "v", period: int = 14) -> str:
 {to} AS (
     SELECT t.series, t.ts, t.rn, t.close, tr, atr, min_atr, max_atr,
            CASE WHEN max_atr = min_atr THEN 0.5 ELSE 1 - (atr - min_atr) / (max_atr - min_atr) END AS adaptive_coeff,
-           1 - 10 / ({period} * (CASE WHEN max_atr = min_atr THEN 0.5 ELSE 1 - (atr - min_atr) / (max_atr - min_atr) END + 0.75) + 9) AS gamma
+           1 - 10 / ({period} * (CASE WHEN max_atr = min_atr THEN 0.5 ELSE 1 - (atr - min_atr) / (max_atr - min_atr) END + {offset}) + 9) AS gamma
     FROM {to}_t t JOIN {to}_e USING (series, rn))"""
 
 
@@ -52,19 +52,19 @@ def stages(of: str = "v", to: str = "o", seeded: bool = False) -> str:
            ELSE (greatest(g0, 0) + greatest(g1, 0) + greatest(g2, 0)) / (abs(g0) + abs(g1) + abs(g2)) END AS rsi FROM {to}_u)"""
 
 
-def features(vol: str, osc: str, to: str) -> str:
+def features(vol: str, osc: str, to: str, up: float = 0.85, down: float = 0.15) -> str:
     """The 43 columns, from the tables of ``volatility`` and ``stages``."""
     ago = lambda c, n=1: f"coalesce(lag({c}, {n}) OVER w, first_value({c}) OVER w)"
     since = lambda cond: f"rn - coalesce(max(CASE WHEN {cond} THEN rn END) OVER w, 0)"
     return f"""{to}_a AS (
     SELECT v.series, v.ts, v.rn, close, min_atr, max_atr, adaptive_coeff, gamma, l0, l1, l2, l3, rsi,
-           CASE WHEN rsi < 0.15 THEN 0 WHEN rsi > 0.85 THEN 2 ELSE 1 END::BIGINT AS regime
+           CASE WHEN rsi < {down} THEN 0 WHEN rsi > {up} THEN 2 ELSE 1 END::BIGINT AS regime
     FROM {osc} o JOIN {vol} v ON o.series = v.series AND o.rn = v.rn),
 {to}_b AS (
     SELECT *, {ago('rsi')} AS was, {ago('regime')} AS regime_was, rsi - {ago('rsi')} AS rsi_change_1, rsi - {ago('rsi', 5)} AS rsi_change_5,
            list(rsi) OVER t AS last20, avg(rsi) OVER t AS mean20, coalesce(stddev_samp(rsi) OVER t, 0) AS vol20, max(rsi) OVER t - min(rsi) OVER t AS range20,
            l0 - {ago('l0')} AS dl0, abs(close - {ago('close')}) AS dc, abs(close - {ago('close', 20)}) AS far, gamma - avg(gamma) OVER t AS gamma_spread,
-           adaptive_coeff - {ago('adaptive_coeff')} AS roc, {since('rsi < 0.15')} AS since_os, {since('rsi > 0.85')} AS since_ob,
+           adaptive_coeff - {ago('adaptive_coeff')} AS roc, {since(f'rsi < {down}')} AS since_os, {since(f'rsi > {up}')} AS since_ob,
            CASE WHEN l0 > l1 AND l2 > l3 THEN 2 WHEN l0 > l1 THEN 1 WHEN l2 > l3 THEN 3 ELSE 0 END::BIGINT AS cycle_phase
     FROM {to}_a WINDOW w AS (PARTITION BY series ORDER BY ts), t AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 {to}_c AS (
@@ -80,9 +80,9 @@ def features(vol: str, osc: str, to: str) -> str:
     FROM {to}_c),
 {to} AS (
     SELECT series, ts, rsi, regime, (regime = 0)::BIGINT AS regime_bearish, (regime = 1)::BIGINT AS regime_neutral, (regime = 2)::BIGINT AS regime_bullish,
-           changed AS regime_changed, run AS bars_in_regime, CASE WHEN rsi > 0.85 THEN rsi - 0.85 WHEN rsi < 0.15 THEN 0.15 - rsi ELSE 0 END::DOUBLE AS regime_strength,
-           rsi - 0.85 AS dist_overbought, rsi - 0.15 AS dist_oversold, rsi - 0.5 AS dist_midline, abs(rsi - 0.85) AS abs_dist_overbought, abs(rsi - 0.15) AS abs_dist_oversold,
-           (was <= 0.15 AND rsi > 0.15)::BIGINT AS cross_above_oversold, (was >= 0.85 AND rsi < 0.85)::BIGINT AS cross_below_overbought,
+           changed AS regime_changed, run AS bars_in_regime, CASE WHEN rsi > {up} THEN rsi - {up} WHEN rsi < {down} THEN {down} - rsi ELSE 0 END::DOUBLE AS regime_strength,
+           rsi - {up} AS dist_overbought, rsi - {down} AS dist_oversold, rsi - 0.5 AS dist_midline, abs(rsi - {up}) AS abs_dist_overbought, abs(rsi - {down}) AS abs_dist_oversold,
+           (was <= {down} AND rsi > {down})::BIGINT AS cross_above_oversold, (was >= {up} AND rsi < {up})::BIGINT AS cross_below_overbought,
            (was <= 0.5 AND rsi > 0.5)::BIGINT AS cross_above_midline, (was >= 0.5 AND rsi < 0.5)::BIGINT AS cross_below_midline,
            since_os AS bars_since_oversold, since_ob AS bars_since_overbought, least(since_os, since_ob) AS bars_since_extreme,
            rsi_change_1, rsi_change_5, velocity AS rsi_velocity, len(list_filter(last20, lambda z: z < rsi)) / len(last20) * 100 AS rsi_percentile_20,
@@ -156,3 +156,60 @@ def interactions(of: str = "m", to: str = "i") -> str:
 
 def rounded(names: list[str], of: str, doubles: set[str], keys: str = "series, ts", digits: int = 6) -> str:
     return f"SELECT {keys}, " + ", ".join(f"round({c}, {digits}) AS {c}" if c in doubles else c for c in names) + f" FROM {of}"
+
+
+def coefficient(of: str, to: str, x: str = "rsi", price: str = "close", ahead: int = 1, log: bool = True) -> str:
+    """Spearman correlation of ``x`` with the return over the next bars."""
+    gain = f"ln(later / {price})" if log else f"later / {price} - 1"
+    return f"""{to}_p AS (SELECT *, lead({price}, {ahead}) OVER (PARTITION BY series ORDER BY ts) AS later FROM {of}),
+{to}_q AS (SELECT series, {x} AS x, CASE WHEN later > 0 AND {price} > 0 THEN {gain} END AS y FROM {to}_p),
+{to}_k AS (
+    SELECT series, rank() OVER (PARTITION BY series ORDER BY x) + (count(*) OVER (PARTITION BY series, x) - 1) / 2.0 AS rx,
+           rank() OVER (PARTITION BY series ORDER BY y) + (count(*) OVER (PARTITION BY series, y) - 1) / 2.0 AS ry FROM {to}_q WHERE x IS NOT NULL AND y IS NOT NULL),
+{to}_n AS (SELECT series, count(*) AS bars FROM {of} GROUP BY series),
+{to} AS (
+    SELECT n.series, count(rx) AS n, CASE WHEN any_value(bars) >= {ahead + 30} AND count(rx) >= 30 THEN corr(rx, ry) END AS ic
+    FROM {to}_n n LEFT JOIN {to}_k k ON n.series = k.series GROUP BY n.series)"""
+
+
+def oscillator(of: str, to: str) -> str:
+    """``to``: series, ts, close and rsi of bars ``of``."""
+    return f"{volatility(of, f'{to}v')}, {stages(f'{to}v', f'{to}o')}, {to} AS (SELECT o.series, o.ts, v.close, o.rsi FROM {to}o o JOIN {to}v v ON o.series = v.series AND o.rn = v.rn)"
+
+
+TRUE_RANGE = "CASE WHEN lag(close) OVER w IS NULL THEN high - low ELSE greatest(high, lag(close) OVER w) - least(low, lag(close) OVER w) END"
+BY_VOLATILITY = f"""a0 AS (SELECT *, {TRUE_RANGE} AS tr FROM b WINDOW w AS (PARTITION BY series ORDER BY ts)),
+a1 AS (SELECT *, CASE WHEN count(*) OVER w >= 20 THEN avg(tr) OVER w END AS atr FROM a0 WINDOW w AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+a2 AS (SELECT series, quantile_cont(atr, 0.5) AS edge FROM a1 GROUP BY series),
+split AS (SELECT a1.*, CASE WHEN atr <= edge THEN 'low' WHEN atr > edge THEN 'high' END AS volatility FROM a1 JOIN a2 USING (series))"""
+BY_TREND = """a0 AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) AS rn FROM b),
+a1 AS (SELECT *, CASE WHEN rn > 50 THEN abs(regr_slope(close, rn) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)) * 50 / 49 END AS slope FROM a0),
+a2 AS (SELECT series, quantile_cont(slope, 0.5) AS edge FROM a1 GROUP BY series),
+split AS (SELECT a1.*, CASE WHEN slope <= edge THEN 'ranging' WHEN slope > edge THEN 'trending' END AS trend FROM a1 JOIN a2 USING (series))"""
+
+
+def robustness(split: str, by: str, sides: tuple[str, str]) -> str:
+    one = lambda s: f"{s}0 AS (SELECT series, ts, open, high, low, close FROM split WHERE {by} = '{s}'), {oscillator(f'{s}0', f'{s}1')}, {coefficient(f'{s}1', f'{s}2')}"
+    a, b = sides
+    return f"""WITH RECURSIVE {BARS}, {split}, {one(a)}, {one(b)}
+        SELECT x.series, x.n AS n_{a}, round(x.ic, 6) AS ic_{a}, y.n AS n_{b}, round(y.ic, 6) AS ic_{b}, round(abs(x.ic - y.ic), 6) AS difference,
+               coalesce(x.ic >= 0.03 AND y.ic >= 0.03 AND abs(x.ic - y.ic) <= 0.02, false) AS robust FROM {a}2 x JOIN {b}2 y ON x.series = y.series"""
+
+
+WALK = f"""c0 AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) AS rn, count(*) OVER (PARTITION BY series) AS size FROM b),
+c1 AS (SELECT *, least((rn - 1) * 6 // size, 5)::INT AS fold FROM c0 WHERE size >= 180),
+c2 AS (SELECT series || '#' || fold AS series, ts, open, high, low, close FROM c1 WHERE fold >= 1), {oscillator('c2', 'c3')}, {coefficient('c3', 'c4')}"""
+ALONG = "WINDOW w AS (PARTITION BY series ORDER BY ts)"
+
+
+def begun_with_mean(x: str, share: float, n: int) -> str:
+    """A recursive average of the list ``x`` that begins with the mean of the first ``n``."""
+    return f"CASE WHEN len({x}) >= {n} THEN list_reduce(list_concat([list_avg({x}[1:{n}])], {x}[{n + 1}:]), lambda a, z: a + {share!r} * (z - a)) END"
+
+
+def classic(of: str, to: str, period: int = 32, smooth: str = "list_reduce(list(close) OVER w, lambda a, z: a + (z - a) / 3)") -> str:
+    return f"""{to}_a AS (SELECT *, row_number() OVER w AS rn, {TRUE_RANGE} AS tr, {smooth} AS smooth FROM {of} {ALONG}),
+{to}_b AS (SELECT *, sum(tr) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN {period - 1} PRECEDING AND CURRENT ROW) / {period} AS atr FROM {to}_a),
+{to}_c AS (SELECT *, least(min(atr) OVER p, atr) AS lo, greatest(max(atr) OVER p, atr) AS hi FROM {to}_b WINDOW p AS (PARTITION BY series ORDER BY ts ROWS BETWEEN {period - 1} PRECEDING AND 1 PRECEDING)),
+{to}_d AS (SELECT series, ts, rn, smooth AS close, 1 - 10 / ({period} * (CASE WHEN lo = hi THEN 0.5 ELSE 1 - (atr - lo) / (hi - lo) END + 0.75) + 9) AS gamma FROM {to}_c),
+{stages(f'{to}_d', to, seeded=True)}"""

@@ -30,3 +30,13 @@ def average_ranks(df: DataFrame, value: str, out: str, by: tuple[str, ...] = (),
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
     return df.join(ranks, match, "left").drop("__of", *(f"__by_{c}" for c in by))
+
+
+def ranked_columns(df: DataFrame, columns: list[str], keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """``keys`` and, under their own names, the average ranks of the ``columns`` among the rows of ``by``; ``keys`` tell rows apart and hold ``by``.
+
+    All columns are ranked in one pass, as rows of a long table.
+    """
+    long = df.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(keys, columns, "__which", "__v")
+    ranked = average_ranks(long, "__v", "__rank", (*by, "__which"))
+    return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("__which") == c, F.col("__rank"))).alias(c) for c in columns))

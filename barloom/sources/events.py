@@ -47,6 +47,6 @@ def violations(df: DataFrame) -> DataFrame:
     rules = {
         "high_open": F.col("high") < F.col("open"), "high_close": F.col("high") < F.col("close"), "high_low": F.col("high") < F.col("low"),
         "low_open": F.col("low") > F.col("open"), "low_close": F.col("low") > F.col("close"),
-        "positive": F.least("open", "high", "low", "close") <= 0, "volume": F.col("volume") < 0, "increasing": F.col("ts") <= before,
+        "positive": F.least("open", "high", "low", "close") <= 0, "volume": F.col("volume") < 0, "increasing": F.col("ts") <= F.col("__before"),
     }
-    return df.withColumn("rule", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items()))))).select("series", "ts", "rule")
+    return df.withColumn("__before", before).withColumn("rule", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items()))))).select("series", "ts", "rule")
