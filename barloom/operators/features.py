@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.averages import add_recursive
 from ..plans.slices import deal
-from .kernel import indicator, order, reach, rows
+from .kernel import indicator, order, reach, rows, settled
 
 #: The output's columns in their order.
 FEATURES = (
@@ -53,6 +53,7 @@ def look_back(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int =
     # In a slice, bars are numbered as in the whole series, and events count on the slice's own bars only.
     x = df.withColumn("rn", base + F.sum(own.cast("long")).over(upto)).withColumn("regime", F.when(r < down, 0).when(r > up, 2).otherwise(1).cast("long"))
     was = back("rsi")
+    gap = lambda a, b: settled(F.col(a), F.col(b))
     latest = lambda c: F.max(F.when(c & own, F.col("rn"))).over(upto)
     x = x.withColumns({
         "regime_bearish": flag(F.col("regime") == 0), "regime_neutral": flag(F.col("regime") == 1), "regime_bullish": flag(F.col("regime") == 2),
@@ -69,10 +70,10 @@ def look_back(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int =
         "rsi_range_20": F.max("rsi").over(w) - F.min("rsi").over(w),
         "adaptive_coeff_roc_1": F.col("adaptive_coeff") - back("adaptive_coeff"), "gamma_value": F.col("gamma"), "gamma_spread": F.col("gamma") - F.avg("gamma").over(w),
         "laguerre_spread": (F.col("l0") - F.col("l3")) / (F.abs("l0") + F.abs("l3") + 1e-10),
-        "laguerre_mid_convergence": F.abs(F.col("l1") - F.col("l2")) / (F.abs(F.col("l0") - F.col("l1")) + F.abs(F.col("l2") - F.col("l3")) + 1e-10),
-        "dl0": F.col("l0") - back("l0"), "dc": F.abs(F.col("close") - back("close")), "far": F.abs(F.col("close") - back("close", 20)),
+        "laguerre_mid_convergence": F.abs(gap("l1", "l2")) / (F.abs(gap("l0", "l1")) + F.abs(gap("l2", "l3")) + 1e-10),
+        "dl0": settled(F.col("l0"), back("l0")), "dc": F.abs(F.col("close") - back("close")), "far": F.abs(F.col("close") - back("close", 20)),
         "atr_range_width": (F.col("max_atr") - F.col("min_atr")) / (F.col("max_atr") + 1e-10),
-        "cycle_phase": F.when((F.col("l0") > F.col("l1")) & (F.col("l2") > F.col("l3")), 2).when(F.col("l0") > F.col("l1"), 1).when(F.col("l2") > F.col("l3"), 3).otherwise(0).cast("long"),
+        "cycle_phase": F.when((gap("l0", "l1") > 0) & (gap("l2", "l3") > 0), 2).when(gap("l0", "l1") > 0, 1).when(gap("l2", "l3") > 0, 3).otherwise(0).cast("long"),
     })
     hundred = rows(-99)
     path = F.sum("dc").over(w)

@@ -11,16 +11,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.scan import scan, spread
 
-#: Gaps between stages, relative to the stages, that count as none.  On a flat
-#: tail the gaps become rounding residue, whose signs mean nothing and depend on
+#: Gaps between stages (and changes of one), relative to the stages, that count
+#: as none.  On a flat tail they become rounding residue, whose signs mean nothing and depend on
 #: where the fold began; below this bound they are taken as settled.
 SETTLED = 1e-12
 
 
+def settled(a: Column, b: Column) -> Column:
+    """a - b, or 0 if that is residue."""
+    return F.when(F.abs(a - b) <= SETTLED * (F.abs(a) + F.abs(b)), 0.0).otherwise(a - b)
+
+
 def order():
     return Window.partitionBy("series").orderBy("ts")
 

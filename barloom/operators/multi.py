@@ -87,7 +87,7 @@ def correlation_prune(df: DataFrame, columns: list[str], most: float = 0.9, keys
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
     if not pairs:
         return []
-    got = ranked_columns(df, columns, list(keys)).agg(*(F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs))).first()
+    got = ranked_columns(df, columns, list(keys)).agg(*((F.covar_samp(a, b) / F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))).alias(f"c{k}") for k, (a, b) in enumerate(pairs))).first()
     gone: list[str] = []
     for k, (a, b) in enumerate(pairs):
         if a not in gone and b not in gone and got[k] is not None and abs(got[k]) > most:

@@ -21,6 +21,11 @@ def ahead_return(price: str, ahead: int, log: bool) -> Column:
     return F.when((later > 0) & (now > 0), gain)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's, null where either column doesn't vary."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def information_coefficient(df: DataFrame, feature: str, price: str = "close", ahead: int = 1, log: bool = True, least: int = LEAST) -> DataFrame:
     """(series, n, ic): Spearman correlation of the feature with the return over the next ``ahead`` bars, ties at average rank.
 
@@ -34,9 +39,9 @@ def information_coefficient(df: DataFrame, feature: str, price: str = "close", a
     bars = own.groupBy("series").agg(F.count("*").alias("bars"))
     pairs = own.where("x IS NOT NULL AND y IS NOT NULL")
     ranked = ranked_columns(pairs, ["x", "y"], ["series", "ts"], ("series",))
-    ic = ranked.groupBy("series").agg(F.count("*").alias("n"), F.corr("x", "y").alias("ic")).join(bars, "series", "right")
+    ic = ranked.groupBy("series").agg(F.count("*").alias("n"), correlation("x", "y").alias("ic")).join(bars, "series", "right")
     enough = (F.col("bars") >= ahead + least) & (F.col("n") >= least)
-    return ic.select("series", F.coalesce("n", F.lit(0)).alias("n"), F.when(enough & ~F.isnan("ic"), F.col("ic")).alias("ic"))
+    return ic.select("series", F.coalesce("n", F.lit(0)).alias("n"), F.when(enough, F.col("ic")).alias("ic"))
 
 
 def passes(ic: float | None, least: float = 0.03) -> bool:

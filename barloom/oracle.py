@@ -32,10 +32,14 @@ def volatility(of: str = "b", to: str = "v", period: int = 14, offset: float = 0
     FROM {to}_t t JOIN {to}_e USING (series, rn))"""
 
 
+def gap(a: str, b: str) -> str:
+    """a - b, or 0 if that is residue."""
+    return f"CASE WHEN abs({a} - {b}) <= 1e-12 * (abs({a}) + abs({b})) THEN 0.0 ELSE {a} - {b} END"
+
+
 def stages(of: str = "v", to: str = "o", seeded: bool = False) -> str:
     """The four stages by recursion; from zero, or from the first price."""
     first = "close AS l0, close AS l1, close AS l2, close AS l3" if seeded else "close * (1 - gamma) AS l0, -gamma * close * (1 - gamma) AS l1, gamma * gamma * close * (1 - gamma) AS l2, -gamma * gamma * gamma * close * (1 - gamma) AS l3"
-    gap = lambda a, b: f"CASE WHEN abs({a} - {b}) <= 1e-12 * (abs({a}) + abs({b})) THEN 0.0 ELSE {a} - {b} END"
     return f"""{to}_f AS (
     SELECT series, rn, ts, {first}
     FROM {of} WHERE rn = 1
@@ -57,15 +61,15 @@ def features(vol: str, osc: str, to: str, up: float = 0.85, down: float = 0.15)
     ago = lambda c, n=1: f"coalesce(lag({c}, {n}) OVER w, first_value({c}) OVER w)"
     since = lambda cond: f"rn - coalesce(max(CASE WHEN {cond} THEN rn END) OVER w, 0)"
     return f"""{to}_a AS (
-    SELECT v.series, v.ts, v.rn, close, min_atr, max_atr, adaptive_coeff, gamma, l0, l1, l2, l3, rsi,
+    SELECT v.series, v.ts, v.rn, close, min_atr, max_atr, adaptive_coeff, gamma, l0, l1, l2, l3, rsi, {gap('l0', 'l1')} AS g0, {gap('l1', 'l2')} AS g1, {gap('l2', 'l3')} AS g2,
            CASE WHEN rsi < {down} THEN 0 WHEN rsi > {up} THEN 2 ELSE 1 END::BIGINT AS regime
     FROM {osc} o JOIN {vol} v ON o.series = v.series AND o.rn = v.rn),
 {to}_b AS (
     SELECT *, {ago('rsi')} AS was, {ago('regime')} AS regime_was, rsi - {ago('rsi')} AS rsi_change_1, rsi - {ago('rsi', 5)} AS rsi_change_5,
            list(rsi) OVER t AS last20, avg(rsi) OVER t AS mean20, coalesce(stddev_samp(rsi) OVER t, 0) AS vol20, max(rsi) OVER t - min(rsi) OVER t AS range20,
-           l0 - {ago('l0')} AS dl0, abs(close - {ago('close')}) AS dc, abs(close - {ago('close', 20)}) AS far, gamma - avg(gamma) OVER t AS gamma_spread,
+           {gap('l0', ago('l0'))} AS dl0, abs(close - {ago('close')}) AS dc, abs(close - {ago('close', 20)}) AS far, gamma - avg(gamma) OVER t AS gamma_spread,
            adaptive_coeff - {ago('adaptive_coeff')} AS roc, {since(f'rsi < {down}')} AS since_os, {since(f'rsi > {up}')} AS since_ob,
-           CASE WHEN l0 > l1 AND l2 > l3 THEN 2 WHEN l0 > l1 THEN 1 WHEN l2 > l3 THEN 3 ELSE 0 END::BIGINT AS cycle_phase
+           CASE WHEN g0 > 0 AND g2 > 0 THEN 2 WHEN g0 > 0 THEN 1 WHEN g2 > 0 THEN 3 ELSE 0 END::BIGINT AS cycle_phase
     FROM {to}_a WINDOW w AS (PARTITION BY series ORDER BY ts), t AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 {to}_c AS (
     SELECT *, (regime <> regime_was)::BIGINT AS changed, sum((regime <> regime_was)::BIGINT) OVER w AS island,
@@ -90,7 +94,7 @@ def features(vol: str, osc: str, to: str, up: float = 0.85, down: float = 0.15)
            shock AS rsi_shock_1bar, (regime <> 1 AND run > 10)::BIGINT AS extreme_regime_persistence, spike AS rsi_volatility_spike,
            least(greatest(0.4 * shock + 0.3 * (regime <> 1 AND run > 10)::BIGINT + 0.3 * spike, 0), 1)::DOUBLE AS tail_risk_score,
            adaptive_coeff, roc AS adaptive_coeff_roc_1, gamma AS gamma_value, gamma_spread, (l0 - l3) / (abs(l0) + abs(l3) + 1e-10) AS laguerre_spread,
-           abs(l1 - l2) / (abs(l0 - l1) + abs(l2 - l3) + 1e-10) AS laguerre_mid_convergence, dl0 / CASE WHEN sd_dl0 IS NULL OR sd_dl0 = 0 THEN 1 ELSE sd_dl0 END AS laguerre_slope,
+           abs(g1) / (abs(g0) + abs(g2) + 1e-10) AS laguerre_mid_convergence, dl0 / CASE WHEN sd_dl0 IS NULL OR sd_dl0 = 0 THEN 1 ELSE sd_dl0 END AS laguerre_slope,
            (max_atr - min_atr) / (max_atr + 1e-10) AS atr_range_width, er AS efficiency_ratio, (er > 0.5)::BIGINT AS efficiency_trend, cycle_phase, (cycle_phase <> phase_was)::BIGINT AS cycle_phase_changed
     FROM {to}_d)"""
 
