@@ -57,29 +57,35 @@ def low_half(words: Column) -> Column:
 
 
 class Printer:
-    """Adds fingerprint columns by one lexicon."""
+    """Fingerprints by one lexicon."""
 
     def __init__(self, lex: DataFrame, bound: int = BOUND):
         self.lex = F.broadcast(lex) if lex.count() <= bound else lex
 
-    def _terms(self, df: DataFrame, keys: list[str]) -> DataFrame:
-        """``__terms``: the sorted words of ``__words`` that the lexicon holds.
+    def add(self, df: DataFrame, texts: dict[str, str], keys: list[str], keep: dict[str, Column] | None = None) -> DataFrame:
+        """``keys``, what ``keep`` says, and the parts, array<int>, of each text (name to column); ``keys`` are not null and settle the row.
 
-        Rows that are dealt by ``keys`` stay where they are while the lexicon is
-        broadcast: words leave their row and come back to it in one task.
+        The words of all texts of a row leave it together and come back in one
+        aggregate.  Rows that are dealt by ``keys`` stay in their task while the
+        lexicon is broadcast.
         """
-        names = [f"__key{k}" for k in range(len(keys))]
-        words = df.select(*(F.col(c).alias(n) for c, n in zip(keys, names)), F.explode("__words").alias("word"))
-        found = words.join(self.lex, "word").groupBy(*names).agg(F.sort_array(F.collect_set("word")).alias("__found"))
-        match = F.lit(True)
-        for c, n in zip(keys, names):
-            match = match & (F.col(c) == F.col(n))
-        return df.join(found, match, "left").withColumn("__terms", F.coalesce("__found", F.array().cast("array<bigint>"))).drop("__found", *names)
-
-    def add(self, df: DataFrame, out: str, text: str, keys: list[str]) -> DataFrame:
-        """``out``: the parts, array<int>, of ``text``; ``keys`` are not null and settle the text."""
-        df = self._terms(df.withColumn("__words", words_of(F.col(text))), keys)
-        quarter = lambda g: F.filter("__terms", lambda w: F.pmod(F.xxhash64(w, F.lit(g)), F.lit(4)) == 0)
+        rows = df.withColumns({f"__words{k}": words_of(F.col(c)) for k, c in enumerate(texts.values())})
+        alone = {f"__alone{k}": low_half(F.sort_array(f"__words{k}")) for k in range(len(texts))}
+        tag = lambda k: lambda w: F.struct(F.lit(k).alias("of"), w.alias("word"))
+        tagged = [F.transform(f"__words{k}", tag(k)) for k in range(len(texts))]
+        kept = keep or {}
+        rows = rows.select(*keys, *(c.alias(n) for n, c in kept.items()), *(c.alias(n) for n, c in alone.items()), F.explode_outer(F.concat(*tagged)).alias("__one"))
+        rows = rows.select("*", F.col("__one.of").alias("__of"), F.col("__one.word").alias("word")).drop("__one")
+        held = rows.join(self.lex.withColumn("__in", F.lit(True)), "word", "left")
+        own = [F.sort_array(F.collect_set(F.when((F.col("__of") == k) & F.col("__in"), F.col("word")))).alias(f"__terms{k}") for k in range(len(texts))]
+        found = held.groupBy(*keys, *kept, *alone).agg(*own)
+        for k, name in enumerate(texts):
+            found = self._parts(found, name, f"__terms{k}", f"__alone{k}")
+        return found.select(*keys, *kept, *texts)
+
+    @staticmethod
+    def _parts(df: DataFrame, out: str, terms: str, alone: str) -> DataFrame:
+        quarter = lambda g: F.filter(terms, lambda w: F.pmod(F.xxhash64(w, F.lit(g)), F.lit(4)) == 0)
         kept = [quarter(g) for g in range(FAMILIES)]
         df = df.withColumn("__level0", F.array(*kept))
         for k in range(1, LEVELS):  # a step each, so that no level is computed twice
@@ -89,9 +95,8 @@ class Printer:
         part = lambda words: F.when(F.size(words) == 0, 0).otherwise(low_half(words))
         parts = F.concat(*(F.transform(c, part) for c in levels))
         # Families are a quarter each: a text may hold words of the lexicon and yet fill no part.
-        alone = F.array(low_half(F.sort_array("__words")))
         filled = F.exists("__level0", lambda words: F.size(words) > 0)
-        return df.withColumn(out, F.when(filled, parts).otherwise(alone)).drop("__words", "__terms", *levels)
+        return df.withColumn(out, F.when(filled, parts).otherwise(F.array(alone))).drop(*levels)
 
 
 def shown(parts: str) -> Column:
@@ -110,28 +115,31 @@ def likeness(a: str, b: str) -> Column:
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text; both counted against the lexicon of the given texts.
 
-    Texts are dealt by (id, hash) once, and that exchange serves both joins:
-    the one that takes the next document's first characters and parts, and the
-    one that brings them to the document before.
+    Texts are dealt by (id, hash) once, and that exchange serves both joins, the
+    one that takes each document's first characters and the one that brings
+    them to the document before, as well as the fingerprints.  Rows that agree
+    in id and text are one until the end.
     """
     scratch = Scratch(spark, "imatch")
     rows = texts(documents(spark, sf_dir), "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "text")
     printer = Printer(lexicon(rows.select("text"), scratch))
 
-    meta = rows.select("id", "h", F.length("text").cast("long").alias("n_chars")).distinct()
+    meta = rows.groupBy("id", "h", F.length("text").cast("long").alias("n_chars")).agg(F.count("*").alias("copies"))
     meta = scratch.keep(ranked(meta, ["id", "h"], scratch, "order"), "ranked")
     total = meta.count()
-    before = meta.select(F.expr(f"CASE WHEN rank = {total} - 1 THEN 0 ELSE rank + 1 END").alias("rank"), F.col("id").alias("of_id"), F.col("h").alias("of_h"), F.floor(F.col("n_chars") / 4).alias("cut"))
-    need = scratch.keep(meta.select("id", "h", "rank").join(before, "rank").drop("rank"), "need")
-
-    ahead = printer.add(rows.join(need, ["id", "h"]), "next_parts", "text", ["id", "h"])
-    ahead = ahead.select(F.col("of_id").alias("id"), F.col("of_h").alias("h"), "cut", "next_parts", F.expr("substring(text, 1, int(cut))").alias("head")).dropDuplicates(["id", "h"])
-    both = rows.join(ahead, ["id", "h"]).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - int(cut))"), "head"))
-    both = printer.add(printer.add(both, "parts", "text", ["id", "h"]), "edited_parts", "edited", ["id", "h"])
-    return both.select(
+    after = F.expr(f"CASE WHEN rank = {total} - 1 THEN 0 ELSE rank + 1 END").alias("rank")
+    before = meta.select(after, F.struct("id", "h", "rank", "copies", "n_chars").alias("of"))
+    need = scratch.keep(meta.select("id", "h", "rank").join(before, "rank").select("id", "h", "of"), "need")
+
+    ahead = rows.join(need, ["id", "h"]).select("of.*", F.expr("substring(text, 1, int(of.n_chars div 4))").alias("head")).dropDuplicates(["id", "h"])
+    both = rows.join(ahead, ["id", "h"]).withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - n_chars div 4))"), "head"))
+    keep = {c: F.col(c) for c in ("rank", "copies", "n_chars")} | {"edited_sha256": F.sha2(F.encode("edited", "UTF-8"), 256)}
+    made = scratch.keep(printer.add(both, {"parts": "text", "edited_parts": "edited"}, ["id", "h"], keep), "parts")
+    ahead = made.select(F.expr(f"CASE WHEN rank = 0 THEN {total} - 1 ELSE rank - 1 END").alias("rank"), F.col("parts").alias("next_parts"))
+    return made.join(ahead, "rank").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         F.nullif("id", F.lit(NO_ID)).alias("doc_id"),
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        "n_chars",
+        "edited_sha256",
         shown("parts").alias("fingerprint"),
         shown("edited_parts").alias("edited_fingerprint"),
         likeness("parts", "edited_parts").alias("near_edited"),

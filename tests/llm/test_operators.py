@@ -219,7 +219,7 @@ def test_fingerprints_of_odd_rows_and_a_large_lexicon(spark, tmp_path):
     assert fingerprint.op3_fingerprint(spark, str(tmp_path / "none")).count() == 0
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id AS id", "coalesce(text, '') AS text")
     lex = fingerprint.lexicon(docs.select("text"), Scratch(spark, "test"))
-    within, joined = ({(r.id, r.shown) for r in fingerprint.Printer(lex, bound).add(docs, "parts", "text", ["id"]).select("id", fingerprint.shown("parts").alias("shown")).collect()} for bound in (fingerprint.BOUND, 0))
+    within, joined = ({(r.id, r.shown) for r in fingerprint.Printer(lex, bound).add(docs, {"parts": "text"}, ["id"]).select("id", fingerprint.shown("parts").alias("shown")).collect()} for bound in (fingerprint.BOUND, 0))
     assert within == joined and len(within) == docs.count()
 
 
