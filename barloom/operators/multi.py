@@ -38,10 +38,13 @@ def resample(bars: DataFrame, m: int, minutes: int) -> DataFrame:
         raise ValueError("a multiplier is 2 or more")
     width = m * minutes * 60
     at = seconds("ts")
-    days = bars.groupBy("series").agg((F.min(seconds(F.col("ts"))) / 86400).cast("long").alias("day"))
-    origin = F.col("day") * 86400
-    start = origin + F.floor((at - origin) / width) * width
-    out = bars.join(days, "series").withColumn("bar", from_seconds(start)).groupBy("series", "bar")
+    if 86400 % width == 0:  # every midnight begins a bar, whichever day was the first
+        out = bars.withColumn("bar", from_seconds(F.floor(at / width) * width))
+    else:
+        days = bars.groupBy("series").agg(F.floor(F.min(seconds(F.col("ts"))) / 86400).alias("day"))
+        origin = F.col("day") * 86400
+        out = bars.join(days, "series").withColumn("bar", from_seconds(origin + F.floor((at - origin) / width) * width))
+    out = out.groupBy("series", "bar")
     out = out.agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("n"), F.max("ts").alias("last"))
     return out.where(F.col("n") == m).select("series", F.col("bar").alias("ts"), "open", "high", "low", "close", "volume", F.expr(f"last + INTERVAL {minutes} MINUTES").alias("ready"))
 
@@ -61,6 +64,26 @@ def as_of(base: DataFrame, higher: DataFrame, names: list[str], suffix: str, tim
     return seen.select(*base.columns, "__v.*")
 
 
+def as_of_grid(base: DataFrame, higher: DataFrame, names: list[str], suffix: str, at, width: int) -> DataFrame:
+    """Adds to each base row the latest higher row that begins by ``at`` seconds, where higher rows begin at multiples of ``width`` seconds.
+
+    Only the higher side, one row for each window, is put in order; base rows
+    find theirs by an equality join on (series, window), so a long series isn't
+    one task's work and its rows aren't moved if the other side is small.
+    """
+    key, time = fresh(base, "window", "time")
+    base = base.withColumn(key, F.floor(at / width).cast("long"))
+    value = F.struct(*(F.col(c).alias(f"{c}{suffix}") for c in names)).alias("__v")
+    own = higher.select("series", F.floor(seconds("ts") / width).cast("long").alias(time), value)
+    # Windows that base rows ask for, and those that have a bar.
+    asked = base.select("series", F.col(key).alias(time)).distinct()
+    both = own.join(asked.withColumn("__asked", F.lit(True)), ["series", time], "full")
+    past = Window.partitionBy("series").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    told = both.withColumn("__v", F.last("__v", ignorenulls=True).over(past)).where("__asked").select("series", F.col(time).alias(key), "__v")
+    names_left = [c for c in base.columns if c != key]
+    return base.join(told, ["series", key], "left").select(*names_left, "__v.*")
+
+
 def redundant(n_features: int = 169) -> list[str]:
     """The names that ``prune`` drops by default; a single interval has none of them."""
     return list(REDUNDANT) if n_features > len(FEATURES) else []
@@ -148,7 +171,7 @@ def interactions(df: DataFrame) -> DataFrame:
 ALIGNMENTS = ("availability", "label", "positional")
 
 
-def align(base: DataFrame, higher: DataFrame, names: list[str], suffix: str, how: str = "availability", clamp_first: bool = False) -> DataFrame:
+def align(base: DataFrame, higher: DataFrame, names: list[str], suffix: str, how: str = "availability", clamp_first: bool = False, width: int | None = None) -> DataFrame:
     """Adds to each base row a row of the higher interval.
 
     ``availability``: the latest that was ready before the base row's own end
@@ -156,12 +179,18 @@ def align(base: DataFrame, higher: DataFrame, names: list[str], suffix: str, how
     row's start; its values are those of the whole window, so they look ahead.
     ``positional``: base row i takes higher row i, and the last one beyond; that
     looks ahead too, and exists for parity only.  Rows before the first match
-    are null or, with ``clamp_first``, take the first higher row.
+    are null or, with ``clamp_first``, take the first higher row.  ``width``,
+    the seconds of a higher bar, spares an ordered pass over the base rows where
+    days are made of whole windows.
     """
     if how not in ALIGNMENTS:
         raise ValueError(f"alignment is one of {', '.join(ALIGNMENTS)}")
+    grid = width is not None and 86400 % width == 0
     if how == "availability":
-        out = as_of(base, higher, names, suffix)
+        # A window that ended before the row's end began more than a width before it.
+        out = as_of_grid(base, higher, names, suffix, seconds("ready") - width - 1, width) if grid else as_of(base, higher, names, suffix)
+    elif how == "label" and grid:
+        out = as_of_grid(base, higher, names, suffix, seconds("ts"), width)
     elif how == "label":
         out = as_of(base, higher, names, suffix, time="ts", strict=False)
     else:
@@ -200,7 +229,7 @@ def extract(bars: DataFrame, minutes: int, extractor, names: list[str], m1: int
     for m, name in ((m1, "mult1"), (m2, "mult2")):
         # What a bar's features know, they know when its window ends.
         own = extractor(resample(bars, m, minutes)).withColumn("ready", F.expr(f"ts + INTERVAL {m * minutes} MINUTES"))
-        out = align(out, own, names, f"_{name}", how, clamp_first)
+        out = align(out, own, names, f"_{name}", how, clamp_first, m * minutes * 60)
     return out
 
 

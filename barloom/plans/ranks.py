@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 #: Ranges that values are cut into.
 RANGES = 64
+#: Bytes of a table, as planned, whose values stay in one range.
+SMALL = 256 << 20
 
 
-def average_ranks(df: DataFrame, value: str, out: str, by: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, out: str, by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """Adds ``out``: the average rank (from 1) of the number ``value`` among the rows of ``by``; null where ``value`` is null.
 
     Distinct values are counted first, so a value that many rows share is one
     row.  Approximate quantiles, at most ``ranges`` numbers, cut the values into
     ranges; counts add up in each range and the few ranges' totals shift them.
-    Only the speed depends on the quantiles, not the ranks.
+    Only the speed depends on the quantiles, not the ranks; a table that the
+    planner takes for small has one range.
     """
-    edges = sorted(set(df.where(F.col(value).isNotNull()).approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.5 / ranges)))
+    if ranges is None:
+        ranges = RANGES if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SMALL else 1
+    edges = [] if ranges == 1 else sorted(set(df.where(F.col(value).isNotNull()).approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.5 / ranges)))
     key = [F.col(c) for c in by]
     part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("__value"))) if edges else F.lit(0)
     counts = df.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("__value")).agg(F.count("*").alias("__n")).withColumn("__part", part)
