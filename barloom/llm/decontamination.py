@@ -33,9 +33,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructField, StructType
 
-from .common import documents, map_arrow
+from .common import documents, text_udf
 from .words import PLAIN, U64, Words, mix, runs, spans, word_blocks
 
 RATIO = 0.2
@@ -212,39 +211,40 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, ratio: float) -> I
         yield Items(ids, own, ratio)
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__leaks``: the items that each row's text holds, with the first word and the edits."""
-    out = docs.withColumn("__leaks", F.array().cast(_LEAKS))
-    schema = StructType([StructField(f.name, f.dataType, True) for f in out.schema.fields])
-    names = docs.columns
+def _finders(docs: DataFrame, benchmark: DataFrame, ratio: float, text_col: str, item_col: str, item_text_col: str) -> Iterator:
+    """For each block of items, a column: those that the row's text holds, with the first word and the edits."""
     for block in _blocks(benchmark, item_col, item_text_col, ratio):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(sent=sent):
             items = sent.value
 
-            def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-                found = batch.column("__leaks").to_pylist()
-                for lo, _, words in word_blocks(batch.column(text_col).cast(pa.string()), space=PLAIN):
+            def work(column: pa.Array) -> pa.Array:
+                found = [[] for _ in range(len(column))]
+                for lo, _, words in word_blocks(column, space=PLAIN):
                     for d, i, at, edits in zip(*items.find(words), strict=True):
                         found[lo + d].append({"item_id": items.ids[i], "at": int(at), "edits": int(edits)})
-                yield pa.record_batch([*(batch.column(c) for c in names), pa.array(found, _LEAK)], names=[*names, "__leaks"])
+                return pa.array(found, _LEAK)
 
             return work
 
-        out = map_arrow(out, schema, make)
-    return out
+        yield text_udf(_LEAKS, make)(F.col(f"`{text_col}`").cast("string"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, at, edits): a row for each row of ``docs`` and item that it holds."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return with_leaks(rows, benchmark, **how).select("doc_id", F.inline("__leaks"))
+    out = rows.select("doc_id", F.array().cast(_LEAKS).alias("leaks")).where(F.lit(False))
+    for leaks in _finders(rows, benchmark, ratio, "text", item_col, item_text_col):
+        out = out.union(rows.select("doc_id", leaks.alias("leaks")))
+    return out.select("doc_id", F.inline("leaks"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with their own columns."""
-    return with_leaks(docs, benchmark, **how).where(F.size("__leaks") == 0).drop("__leaks")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ratio: float = RATIO, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item, with their own columns; a block of items sees what those before have left."""
+    for leaks in _finders(docs, benchmark, ratio, text_col, item_col, item_text_col):
+        docs = docs.where(F.size(leaks) == 0)
+    return docs
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operator 4: language identification of spans.
 
-Script ranges narrow a word's candidates to the languages that were seen to
-use its script; byte n-gram statistics score the word for each candidate; a
+Script ranges (of code points, letters only) narrow a word's candidates to the
+languages that were seen to use its scripts; byte n-gram statistics score the word for each candidate; a
 Viterbi pass with a penalty for each switch labels every word, and so spans of
 mixed texts.  The text's language is the one that covers most letters bytes.
 
@@ -17,6 +17,8 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import subword
 from .common import choose, documents, map_arrow, texts
 from .toxicity import part
-from .words import Words, word_blocks
+from .words import U64, Words, word_blocks
 
 #: Most rows of each language that statistics are learned from.
 MOST = 1500
@@ -35,27 +37,59 @@ BUCKETS = 1 << 17
 SIZES = (2, 3, 4)
 #: Cost, in nats of a word's score, of a change of language between two words.
 SWITCH = 6.0
-#: Script ranges by the first byte of a UTF-8 letter (fixed values of the encoding):
-#: ASCII; Latin 1 and extensions; Greek; Cyrillic; Armenian and Hebrew; Arabic; South and
-#: South-East Asian; CJK, kana and hangul; all beyond the first plane.
-RANGES = ((0x00, 0x7F), (0xC2, 0xCA), (0xCD, 0xCF), (0xD0, 0xD3), (0xD4, 0xD7), (0xD8, 0xDF), (0xE0, 0xE1), (0xE2, 0xEF), (0xF0, 0xF4))
-_SCRIPT = np.zeros(256, dtype=np.uint16)
-for _k, (_lo, _hi) in enumerate(RANGES):
-    _SCRIPT[_lo : _hi + 1] = 1 << _k
-_ASCII_LETTER = np.zeros(256, dtype=bool)
-_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
-_SCRIPT[:128][~_ASCII_LETTER[:128]] = 0
-
-
-def scripts(words: Words, at: np.ndarray) -> np.ndarray:
-    """A bit for each script range that the letters of the words ``at`` fall in."""
-    if not len(at):
-        return np.zeros(0, np.uint16)
-    marks = _SCRIPT[words.data]
-    out = np.zeros(len(at), np.uint16)
-    for k in range(len(RANGES)):
-        total = np.concatenate(([0], np.cumsum(marks >> k & 1, dtype=np.int64)))
-        out |= ((total[words.end[at]] > total[words.start[at]]).astype(np.uint16) << k).astype(np.uint16)
+#: Scripts by ranges of code points (fixed values of the character set's blocks); what isn't listed is one script more.
+RANGES = (
+    ("Latin", (0x0041, 0x024F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFF21, 0xFF5A)),
+    ("Greek", (0x0370, 0x03FF), (0x1F00, 0x1FFF)), ("Cyrillic", (0x0400, 0x052F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    ("Armenian", (0x0530, 0x058F)), ("Hebrew", (0x0590, 0x05FF)), ("Arabic", (0x0600, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)),
+    ("Devanagari", (0x0900, 0x097F)), ("Bengali", (0x0980, 0x09FF)), ("Gurmukhi", (0x0A00, 0x0A7F)), ("Gujarati", (0x0A80, 0x0AFF)), ("Oriya", (0x0B00, 0x0B7F)),
+    ("Tamil", (0x0B80, 0x0BFF)), ("Telugu", (0x0C00, 0x0C7F)), ("Kannada", (0x0C80, 0x0CFF)), ("Malayalam", (0x0D00, 0x0D7F)), ("Sinhala", (0x0D80, 0x0DFF)),
+    ("Thai", (0x0E00, 0x0E7F)), ("Lao", (0x0E80, 0x0EFF)), ("Tibetan", (0x0F00, 0x0FFF)), ("Myanmar", (0x1000, 0x109F)), ("Georgian", (0x10A0, 0x10FF)),
+    ("Hangul", (0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)), ("Ethiopic", (0x1200, 0x139F)), ("Khmer", (0x1780, 0x17FF)), ("Mongolian", (0x1800, 0x18AF)),
+    ("Kana", (0x3040, 0x30FF), (0x31F0, 0x31FF)), ("Han", (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
+)
+
+
+@functools.cache
+def _script_of() -> np.ndarray:
+    """The bit of the script of each code point that is a letter, else 0."""
+    bits = np.zeros(0x110000, dtype=np.uint64)
+    letter = np.zeros(0x110000, dtype=bool)
+    letter[:0x10000] = [unicodedata.category(chr(c))[0] == "L" for c in range(0x10000)]
+    for lo, hi in ((0x10000, 0x1FFFF), (0x20000, 0x323AF)):
+        letter[lo : hi + 1] = [unicodedata.category(chr(c))[0] == "L" for c in range(lo, hi + 1)] if lo < 0x20000 else True
+    bits[letter] = U64(1) << U64(len(RANGES))
+    for k, (_, *spans) in enumerate(RANGES):
+        for lo, hi in spans:
+            own = bits[lo : hi + 1]
+            own[own > 0] = U64(1) << U64(k)
+    return bits
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    """The code point that begins at each byte, 0 at the bytes within one."""
+    after = [np.concatenate((data[k:], np.zeros(min(k, len(data)), np.uint8))).astype(np.int64) & 0x3F for k in (1, 2, 3)]
+    x = data.astype(np.int64)
+    out = np.where(x < 0x80, x, 0)
+    two, three, four = (x >= 0xC0) & (x < 0xE0), (x >= 0xE0) & (x < 0xF0), x >= 0xF0
+    out[two] = (x[two] & 0x1F) << 6 | after[0][two]
+    out[three] = (x[three] & 0x0F) << 12 | after[0][three] << 6 | after[1][three]
+    out[four] = np.minimum((x[four] & 0x07) << 18 | after[0][four] << 12 | after[1][four] << 6 | after[2][four], 0x10FFFF)
+    return out
+
+
+def scripts(words: Words) -> np.ndarray:
+    """Of each word a bit for each script that its letters belong to."""
+    if not len(words.start):
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(words.start), np.uint64)
+    table, k = _script_of(), 0
+    while k < len(out):  # in pieces, so that a long text takes no more
+        to = max(int(np.searchsorted(words.end, words.start[k] + (1 << 20), side="right")), k + 1)
+        a = int(words.start[k])
+        marks = table[code_points(words.data[a : words.end[to - 1]])]
+        out[k:to] = np.bitwise_or.reduceat(marks, words.start[k:to] - a)
+        k = to
     return out
 
 
@@ -69,7 +103,7 @@ class Model:
         score, n = subword.gram_sums(words, at, hashes, self.table, SIZES)
         n = np.maximum(n, 1)
         score *= (np.sqrt(n) / n)[:, None]  # n-grams of a word overlap
-        used = scripts(words, at)
+        used = scripts(words)[at]
         score[used == 0] = 0
         fits = np.stack([(used & ~u) == 0 for u in self.uses], axis=1)
         score[~fits & fits.any(axis=1)[:, None]] -= 20.0
@@ -83,9 +117,9 @@ def viterbi(score: np.ndarray, row: np.ndarray, first: np.ndarray, switch: float
     long = counts[order]
     most = int(long[0]) if len(long) else 0
     width = score.shape[1]
-    label = np.zeros(len(row), dtype=np.int8)
+    label = np.zeros(len(row), dtype=np.int32)
     stay = np.zeros((len(row), width), dtype=bool)
-    top = np.zeros(len(row), dtype=np.int8)
+    top = np.zeros(len(row), dtype=np.int32)
     live = np.searchsorted(-long, -np.arange(1, most + 1), side="right")
     starts = first[:-1][order]
     best = np.zeros((len(order), width))
@@ -101,8 +135,8 @@ def viterbi(score: np.ndarray, row: np.ndarray, first: np.ndarray, switch: float
             best[:n] = np.where(keep, own, high) + score[row[at]]
         else:
             best[:n] = score[row[at]]
-    end = best.argmax(axis=1).astype(np.int8)
-    now = np.zeros(len(order), dtype=np.int8)
+    end = best.argmax(axis=1).astype(np.int32)
+    now = np.zeros(len(order), dtype=np.int32)
     for t in range(most - 1, -1, -1):
         n = live[t]
         m = live[t + 1] if t + 1 < most else 0
@@ -123,21 +157,21 @@ def fit(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str
     own, known = choose(rows, "lang", most, 4)
     langs, rows = sorted(known), rows.where(own)
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0, np.uint16))
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0, np.uint64))
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             lang = np.array([langs.index(x) for x in batch.column("lang").to_pylist()], dtype=np.int64)
             for lo, hi, words in word_blocks(batch.column("text")):
                 own = lang[lo:hi][words.doc_of()]
-                used, hashes = scripts(words, np.arange(len(words.start))), words.hashes(fold=True)
+                used, hashes = scripts(words), words.hashes(fold=True)
                 for k in np.unique(own):
                     at = np.flatnonzero(own == k)
                     seen = np.zeros(BUCKETS, dtype=np.int64)
                     for bucket, _ in subword.grams(words, at, hashes[at], BUCKETS, SIZES):
                         seen += np.bincount(bucket, minlength=BUCKETS)
                     full = np.flatnonzero(seen)
-                    marks = np.array([(used[at] >> s & 1).sum() for s in range(len(RANGES))])
+                    marks = np.array([int((used[at] >> U64(s) & U64(1)).sum()) for s in range(len(RANGES) + 1)])
                     yield pa.record_batch(
                         [pa.array([int(k)], pa.int32()), pa.array([len(at)], pa.int64()), pa.array([marks.tolist()], pa.list_(pa.int64())), pa.array([full.tolist()], pa.list_(pa.int32())), pa.array([seen[full].tolist()], pa.list_(pa.int64()))],
                         names=["lang", "n", "marks", "bucket", "seen"],
@@ -150,11 +184,11 @@ def fit(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str
     counts = np.full((BUCKETS, len(langs)), 0.5)
     for r in sums.collect():  # BUCKETS rows a language at most
         counts[r.bucket, r.lang] += r.seen
-    uses = np.zeros(len(langs), np.uint16)
+    uses = np.zeros(len(langs), np.uint64)
     marks = told.select("lang", "n", F.posexplode("marks")).groupBy("lang", "pos").agg(F.sum("col").alias("seen"), F.sum("n").alias("n"))
     for r in marks.collect():
         if r.seen > 0.0005 * r.n:
-            uses[r.lang] |= 1 << r.pos
+            uses[r.lang] |= U64(1) << U64(r.pos)
     logs = np.log(counts / counts.sum(axis=0))
     return Model(langs, logs - logs.mean(axis=1, keepdims=True), uses)
 
@@ -174,7 +208,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, id_col: str
             for lo, hi, words in word_blocks(batch.column("text")):
                 n, k = hi - lo, len(m.langs)
                 pred, score = np.full(n, k), np.zeros(n)
-                label = np.zeros(len(words.start), dtype=np.int8)
+                label = np.zeros(len(words.start), dtype=np.int32)
                 if k:
                     by_word, row = m.words(words)
                     label = viterbi(by_word, row, words.first, switch)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import sketch
-from .common import Scratch, documents, map_arrow, texts
+from .common import Scratch, documents, fresh, map_arrow, texts
 from .components import components
 from .words import U64, Words, mix, run_starts, runs, sequences, word_blocks
 
@@ -239,13 +239,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one row of each component, that of its smallest id (of the least hash where an id repeats); rows without an id stay."""
     scratch = Scratch(docs.sparkSession, "kept")
     found = _components(docs, id_col=id_col, text_col=text_col, **how)
-    gone = found.where("doc_id IS NOT NULL AND best <> struct(doc_id, t1, t2)").select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
+    keys = fresh(docs, "key_id", "key_t1", "key_t2")
+    gone = found.where("doc_id IS NOT NULL AND best <> struct(doc_id, t1, t2)").select(*(F.col(c).alias(k) for c, k in zip(("doc_id", "t1", "t2"), keys, strict=True)))
     gone = scratch.keep(gone.distinct(), "gone")
-    keys = ["__id", "__t1", "__t2"]
-    keyed = docs.select("*", F.col(f"`{id_col}`").cast("long").alias("__id"), *(c.alias(k) for c, k in zip(_text_keys(text_col), keys[1:])))
+    keyed = docs.select("*", F.col(f"`{id_col}`").cast("long").alias(keys[0]), *(c.alias(k) for c, k in zip(_text_keys(text_col), keys[1:])))
     kept = keyed.join(gone, keys, "left_anti")
-    known = kept.where("__id IS NOT NULL").dropDuplicates(keys)
-    return known.unionByName(kept.where("__id IS NULL")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    known = kept.where(F.col(keys[0]).isNotNull()).dropDuplicates(keys)
+    return known.unionByName(kept.where(F.col(keys[0]).isNull())).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

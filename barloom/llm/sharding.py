@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, fresh
 from .ranking import ranked
 
 SHARDS = 16
@@ -37,8 +37,7 @@ def assign(rows: DataFrame, shards: int, scratch: Scratch, seed: int = SEED) ->
     placed = placed.withColumn("place", (2 * F.col("own_rank") + 1) / (2 * F.col("n")))
     whole = ranked(placed, ["place", *own], scratch, "place")
     total = mixed.count()
-    shard = F.floor(F.col("rank") * shards / total) if total == 0 else F.expr(f"rank * {shards} div {total}")
-    out = whole.withColumn("shard", shard.cast("int"))
+    out = whole.withColumn("shard", F.expr(f"int(rank * {shards} div {max(total, 1)})"))  # an empty table has no row to place
     first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
     return out.withColumn("slot", (F.col("rank") - first).cast("long")).drop("mixed", "own_rank", "n", "place", "rank")
 
@@ -52,9 +51,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
     """``docs`` with ``shard`` and ``slot``, which replace columns of those names."""
     scratch = Scratch(docs.sparkSession, "shard")
     docs = docs.drop("shard", "slot")
-    rows = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    placed = assign(_meta(rows, id_col, text_col, source_col, "__row"), shards, scratch, seed)
-    return rows.join(placed.select("__row", "shard", "slot"), "__row").drop("__row")
+    (row,) = fresh(docs, "row_number")
+    rows = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "docs")
+    placed = assign(_meta(rows, id_col, text_col, source_col, F.col(row).alias("row_")), shards, scratch, seed)
+    return rows.join(placed.select(F.col("row_").alias(row), "shard", "slot"), row).drop(row)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
