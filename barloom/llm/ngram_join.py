@@ -173,10 +173,10 @@ def _text_keys(text_col: str) -> list:
     return [F.xxhash64(F.lit(k), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias(f"t{k}") for k in (1, 2)]
 
 
-def _components(docs: DataFrame, size: int = 5, percent: int = 75, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _components(docs: DataFrame, size: int = 5, percent: int = 75, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, t1, t2, n, best) for every row: ``best`` is the least (doc_id, t1, t2) of its component's rows with an id."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram")
+    scratch = scratch or Scratch(spark, "ngram")
     rows = texts(docs, id_col, text_col)
     cells = sketch.cells_for(docs.select(text_col), PER_BYTE)
     packed = spark.sparkContext.broadcast(sketch.build(rows, _sketch_keys(size), cells, 1))
@@ -192,6 +192,7 @@ def _components(docs: DataFrame, size: int = 5, percent: int = 75, orders: int =
     posts = scratch.keep(posts, "sent")
     shared = posts.groupBy("ord", "token").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     posts = scratch.keep(posts.join(shared.select("ord", "token"), ["ord", "token"], "left_semi"), "posts")
+    scratch.drop("sent")
 
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     first = posts.where("ord = 0").select("token", "n", "doc", "single")
@@ -206,8 +207,10 @@ def _components(docs: DataFrame, size: int = 5, percent: int = 75, orders: int =
 
     own = posts.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     own = scratch.keep(own, "labelled")
+    scratch.drop("posts")
     common = own.groupBy("ord", "token", "label").agg(F.count("*").alias("c")).groupBy("ord", "token").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("k")).where("k > 1").select("ord", "token", F.col("top.label").alias("top"))
     own = scratch.keep(own.join(common, ["ord", "token"]), "mixed")
+    scratch.drop("labelled")
     left = own.where("label <> top").select("ord", "token", "top", *(F.col(c).alias(f"{c}_a") for c in ("doc", "n", "pos", "label")))
     right = own.select("ord", "token", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pos", "label")))
     meet = left.join(right, ["ord", "token"]).where(
@@ -218,6 +221,7 @@ def _components(docs: DataFrame, size: int = 5, percent: int = 75, orders: int =
     # A pair must come from every order; within an order it may come from several shingles.
     pairs = meet.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"), "ord").distinct().groupBy("a", "b").agg(F.count("*").alias("k")).where(F.col("k") == orders).select("a", "b")
     more = scratch.keep(_verify(pairs, sets, percent), "more")
+    scratch.drop("mixed")
 
     names = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     bridges = more.join(names("a"), "a", "left").join(names("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
@@ -238,10 +242,11 @@ def ngram_components(docs: DataFrame, **how) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each component, that of its smallest id (of the least hash where an id repeats); rows without an id stay."""
     scratch = Scratch(docs.sparkSession, "kept")
-    found = _components(docs, id_col=id_col, text_col=text_col, **how)
+    found = _components(docs, id_col=id_col, text_col=text_col, scratch=scratch, **how)
     keys = fresh(docs, "key_id", "key_t1", "key_t2")
     gone = found.where("doc_id IS NOT NULL AND best <> struct(doc_id, t1, t2)").select(*(F.col(c).alias(k) for c, k in zip(("doc_id", "t1", "t2"), keys, strict=True)))
     gone = scratch.keep(gone.distinct(), "gone")
+    scratch.drop("scan")
     keyed = docs.select("*", F.col(f"`{id_col}`").cast("long").alias(keys[0]), *(c.alias(k) for c, k in zip(_text_keys(text_col), keys[1:])))
     kept = keyed.join(gone, keys, "left_anti")
     known = kept.where(F.col(keys[0]).isNotNull()).dropDuplicates(keys)
