@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.averages import add_recursive
+from ..plans.scan import scan
 from ..plans.slices import deal
-from .kernel import indicator, order, reach, rows, settled
+from .kernel import indicator, order, ranks_of, reach, rows, settled
 
 #: The output's columns in their order.
 FEATURES = (
@@ -43,7 +44,7 @@ def average_reach(span: int) -> int:
 
 
 def look_back(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int = 20) -> DataFrame:
-    """An indicator frame with all features but those that count bars, and the numbers of the last bars of their events."""
+    """An indicator frame (of the same ``window``) with all features but those that count bars, and the numbers of the last bars of their events."""
     if not 0 < down < up < 1 or window < 1:
         raise ValueError("levels must satisfy 0 < down < up < 1 and windows be positive")
     r, w = F.col("rsi"), rows(1 - window)
@@ -65,7 +66,7 @@ def look_back(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int =
         "cross_above_midline": flag((was <= 0.5) & (r > 0.5)), "cross_below_midline": flag((was >= 0.5) & (r < 0.5)),
         "at_oversold": latest(r < down), "at_overbought": latest(r > up),
         "rsi_change_1": r - was, "rsi_change_5": r - back("rsi", 5),
-        "rsi_percentile_20": F.size(F.filter(F.collect_list("rsi").over(w), lambda v: v < r)) / F.size(F.collect_list("rsi").over(w)) * 100,
+        "rsi_percentile_20": F.col("rsi_percentile"),
         "mean": F.avg("rsi").over(w), "rsi_volatility_20": F.coalesce(F.stddev_samp("rsi").over(w), F.lit(0.0)),
         "rsi_range_20": F.max("rsi").over(w) - F.min("rsi").over(w),
         "adaptive_coeff_roc_1": F.col("adaptive_coeff") - back("adaptive_coeff"), "gamma_value": F.col("gamma"), "gamma_spread": F.col("gamma") - F.avg("gamma").over(w),
@@ -107,6 +108,8 @@ def expand(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int = 20
     """(series, ts, the 43 features) of an indicator frame; of one made with another span than 5, the same ``span``."""
     if span < 1:
         raise ValueError("a span is one bar or more")
+    if window != 20:
+        df = scan(df, "__rank", lambda: lambda x, of=ranks_of(window): (of(x),), ["rsi"], {"v": "double"}).withColumn("rsi_percentile", F.col("__rank.v")).drop("__rank")
     if span != 5:
         df = add_recursive(df, "rsi_velocity", F.col("rsi") - back("rsi"), 2 / (span + 1), "first", 1)
     return count_bars(look_back(df, up, down, window))
@@ -126,8 +129,8 @@ def features(bars: DataFrame, period: int = 14, offset: float = 0.75, up: float
     with a row for each slice.
     """
     if minutes is None:
-        return count_bars(look_back(indicator(bars, period, offset, span), up, down, window))
-    x = look_back(indicator(deal(bars, minutes, halo(period, offset, window, span), per), period, offset, span), up, down, window).where("own")
+        return count_bars(look_back(indicator(bars, period, offset, span, window), up, down, window))
+    x = look_back(indicator(deal(bars, minutes, halo(period, offset, window, span), per), period, offset, span, window), up, down, window).where("own")
     key = [F.col("series.series").alias("of"), F.col("series.slice").alias("slice")]
     ends = x.groupBy("series").agg(*(F.max(c).alias(c) for c in EVENTS)).select(*key, *EVENTS)
     before = Window.partitionBy("of").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -120,6 +120,87 @@ def fixed_period(df: DataFrame, period: float, price: str = "close") -> DataFram
     return out.drop("__gamma", "rsi_velocity")
 
 
-def indicator(df: DataFrame, period: int = 14, offset: float = 0.75, span: int = 5) -> DataFrame:
-    """All of the above, for bars (series, ts, open, high, low, close, volume)."""
-    return laguerre(volatility(df, period, offset), period, offset, span=span)
+def ranges_of(period: int, offset: float):
+    """A function of arrays (high, low, close), piece after piece, to tr, atr, min_atr, max_atr, adaptive_coeff and gamma.
+
+    Sums of the newest ranges grow one range at a time for all bars at once, so
+    a flat stretch has sums of exactly 0.
+    """
+    past, last = np.zeros(0), []
+
+    def work(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> tuple[np.ndarray, ...]:
+        nonlocal past
+        n = len(close)
+        before = np.concatenate((last or [np.nan], close[:-1])) if n else close
+        tr = np.where(np.isnan(before), high - low, np.fmax(high, before) - np.fmin(low, before))
+        every, m = np.concatenate((past, tr)), len(past)
+        total, atr = np.zeros(n), np.zeros(n)
+        least, most = np.full(n, np.inf), np.full(n, -np.inf)
+        for k in range(period):
+            first = max(0, k - m)  # bars that have k ranges before them
+            if first >= n:
+                break
+            total[first:] += every[m - k + first : m - k + n]
+            mean = total[first:] / (k + 1)
+            atr[first:] = mean
+            np.minimum(least[first:], mean, out=least[first:])
+            np.maximum(most[first:], mean, out=most[first:])
+        if n:
+            last[:] = [float(close[-1])]
+            past = every[-(period - 1) :] if period > 1 else past
+        span = most - least
+        coeff = np.where(span == 0, 0.5, 1 - (atr - least) / np.where(span == 0, 1.0, span))
+        return tr, atr, least, most, coeff, 1 - 10 / (period * (coeff + offset) + 9)
+
+    return work
+
+
+def ranks_of(window: int):
+    """A function of an array, piece after piece, to the share, in percent, of the last ``window`` values that lie below the newest."""
+    past = np.zeros(0)
+
+    def work(x: np.ndarray) -> np.ndarray:
+        nonlocal past
+        every, m, n = np.concatenate((past, x)), len(past), len(x)
+        below = np.zeros(n)
+        for k in range(1, window):
+            first = max(0, k - m)
+            if first >= n:
+                break
+            below[first:] += every[m - k + first : m - k + n] < x[first:]
+        past = every[-(window - 1) :] if window > 1 else past
+        return below / np.minimum(np.arange(m, m + n) + 1, window) * 100
+
+    return work
+
+
+INDICATOR = ("tr", "atr", "min_atr", "max_atr", "adaptive_coeff", "gamma", *STAGES, "rsi_percentile")
+
+
+def indicator(df: DataFrame, period: int = 14, offset: float = 0.75, span: int = 5, window: int = 20) -> DataFrame:
+    """Bars (series, ts, open, high, low, close, volume) with all of the above and rsi_percentile, its rank within ``window`` bars.
+
+    One pass in Arrow batches: what ``volatility`` does by windows is here a few
+    array operations.  A bar with a null price has nulls and counts for nothing.
+    """
+    if period < 1 or window < 1 or span < 1:
+        raise ValueError("periods are one bar or more")
+
+    def make():
+        ranges, stages, ranks = ranges_of(period, offset), filter_stages(span=span)(), ranks_of(window)
+
+        def work(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> tuple[np.ndarray, ...]:
+            known = ~(np.isnan(high) | np.isnan(low) | np.isnan(close))
+            if not known.all():
+                out = [np.full(len(close), np.nan) for _ in INDICATOR]
+                for full, own in zip(out, work(high[known], low[known], close[known]), strict=True):
+                    full[known] = own
+                return tuple(out)
+            found = ranges(high, low, close)
+            filtered = stages(close, found[-1])
+            return (*found, *filtered, ranks(filtered[4]))
+
+        return work
+
+    out = scan(df, "__all", make, [F.col(c).cast("double") for c in ("high", "low", "close")], dict.fromkeys(INDICATOR, "double"))
+    return spread(out, "__all", INDICATOR)

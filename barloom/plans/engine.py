@@ -149,7 +149,7 @@ class Engine:
 
     def _single(self, bars: DataFrame) -> DataFrame:
         s = self.setup
-        return count_bars(look_back(indicator(bars, s.period, s.offset, s.span), s.up, s.down, s.window))
+        return count_bars(look_back(indicator(bars, s.period, s.offset, s.span, s.window), s.up, s.down, s.window))
 
     def check_look_ahead(self, data, prefixes: int = 100) -> DataFrame:
         """(series, column, n_wrong) of the oscillator; ValueError for series that are too short."""

@@ -13,10 +13,10 @@ def scan(df: DataFrame, name: str, make: Callable[[], Callable], inputs: list, f
     """Adds the struct ``name`` with ``fields`` (name to SQL type): what ``make()`` returns, called with arrays of the inputs, piece after piece.
 
     ``make`` is called at the start of each series, so its function may keep the
-    state of a recursion.  A window numbers the bars first; so the rows of a
-    task lie series by series in order, and no exchange is added to those of
-    the windows around.  The column isn't deterministic for the planner, so it
-    moves nothing past it.
+    state of a recursion.  A window numbers the bars first, so the rows of a task
+    lie series by series in order.  The column isn't deterministic for the
+    planner, so it moves nothing past it; the planner doesn't know how rows lie
+    behind a Python column, so windows after it deal them once more.
     """
     first = F.row_number().over(Window.partitionBy("series").orderBy(order)) == 1
     columns = [F.col(c) if isinstance(c, str) else c for c in inputs]
