@@ -15,8 +15,8 @@ then never leave the task that holds the text; beyond that, words are joined
 with it by shuffle.
 
 Defined results: null and empty texts, and others without a word of any random
-lexicon, take the hash of all their words as their one part, so that equal
-texts have equal fingerprints; rows that agree in id and text get equal
+lexicon, take the hash of the text as their one part, so that equal texts have
+equal fingerprints; rows that agree in id and text get equal
 results; null ids (and -2^63, which is shown as null) count as rows of an id of
 their own; a table of one document has itself as the next; an empty table gives
 an empty result; other columns are ignored.
@@ -51,9 +51,14 @@ def lexicon(rows: DataFrame, scratch: Scratch, band: tuple[float, float] = BAND)
     return scratch.keep(counts.where((idf >= band[0]) & (idf <= band[1])).select("word"), "lexicon")
 
 
+def low_half_of(h: Column) -> Column:
+    """The low 32 bits of a hash."""
+    return F.shiftright(F.shiftleft(h, 32), 32).cast("int")
+
+
 def low_half(words: Column) -> Column:
-    """The low 32 bits of the hash of an array of words."""
-    return F.shiftright(F.shiftleft(F.xxhash64(words), 32), 32).cast("int")
+    """Those of the hash of an array of words."""
+    return low_half_of(F.xxhash64(words))
 
 
 class Printer:
@@ -66,25 +71,25 @@ class Printer:
         """``keys``, what ``keep`` says, and the parts, array<int>, of each text (name to column); ``keys`` are not null and settle the row.
 
         The words of all texts of a row leave it together and come back in one
-        aggregate.  Rows that are dealt by ``keys`` stay in their task while the
+        aggregate, and one row more carries what is kept, so that words stay
+        small.  Rows that are dealt by ``keys`` stay in their task while the
         lexicon is broadcast.
         """
-        rows = df.withColumns({f"__words{k}": words_of(F.col(c)) for k, c in enumerate(texts.values())})
-        alone = {f"__alone{k}": low_half(F.sort_array(f"__words{k}")) for k in range(len(texts))}
         tag = lambda k: lambda w: F.struct(F.lit(k).alias("of"), w.alias("word"))
-        tagged = [F.transform(f"__words{k}", tag(k)) for k in range(len(texts))]
-        kept = keep or {}
-        rows = rows.select(*keys, *(c.alias(n) for n, c in kept.items()), *(c.alias(n) for n, c in alone.items()), F.explode_outer(F.concat(*tagged)).alias("__one"))
-        rows = rows.select("*", F.col("__one.of").alias("__of"), F.col("__one.word").alias("word")).drop("__one")
-        held = rows.join(self.lex.withColumn("__in", F.lit(True)), "word", "left")
-        own = [F.sort_array(F.collect_set(F.when((F.col("__of") == k) & F.col("__in"), F.col("word")))).alias(f"__terms{k}") for k in range(len(texts))]
-        found = held.groupBy(*keys, *kept, *alone).agg(*own)
+        words = F.concat(F.array(F.struct(F.lit(-1).alias("of"), F.lit(None).cast("long").alias("word"))), *(F.transform(words_of(F.col(c)), tag(k)) for k, c in enumerate(texts.values())))
+        also = F.struct(*(c.alias(n) for n, c in (keep or {}).items()), *(low_half_of(F.xxhash64(F.col(c))).alias(f"alone{k}") for k, c in enumerate(texts.values())))
+        rows = df.select(*keys, also.alias("__also"), F.explode(words).alias("__one"))
+        rows = rows.select(*keys, F.col("__one.of").alias("__of"), F.col("__one.word").alias("word"), F.when(F.col("__one.of") < 0, F.col("__also")).alias("__also"))
+        held = rows.join(self.lex.withColumn("__in", F.lit(True)), "word", "left").where("__in OR __of < 0")
+        own = [F.collect_list(F.when(F.col("__of") == k, F.col("word"))).alias(f"__terms{k}") for k in range(len(texts))]
+        found = held.groupBy(*keys).agg(F.first("__also", ignorenulls=True).alias("__also"), *own)
         for k, name in enumerate(texts):
-            found = self._parts(found, name, f"__terms{k}", f"__alone{k}")
-        return found.select(*keys, *kept, *texts)
+            found = found.withColumn(f"__terms{k}", F.array_distinct(F.sort_array(f"__terms{k}")))
+            found = self._parts(found, name, f"__terms{k}", F.col(f"__also.alone{k}"))
+        return found.select(*keys, *(F.col(f"__also.{n}").alias(n) for n in keep or {}), *texts)
 
     @staticmethod
-    def _parts(df: DataFrame, out: str, terms: str, alone: str) -> DataFrame:
+    def _parts(df: DataFrame, out: str, terms: str, alone: Column) -> DataFrame:
         quarter = lambda g: F.filter(terms, lambda w: F.pmod(F.xxhash64(w, F.lit(g)), F.lit(4)) == 0)
         kept = [quarter(g) for g in range(FAMILIES)]
         df = df.withColumn("__level0", F.array(*kept))
