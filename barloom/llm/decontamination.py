@@ -41,6 +41,8 @@ RATIO = 0.2
 REPEATS = 24
 SAMPLES = 3
 BLOCK = 20_000
+#: Meetings of a text's runs with items' that are looked at together.
+ENTRIES = 1 << 20
 PAD = U64(0x5851F42D4C957F2D)
 _LEAKS = "array<struct<item_id:long,at:int,edits:int>>"
 _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("at", pa.int32()), ("edits", pa.int32())]))
@@ -80,6 +82,17 @@ def best_edits(item: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cost.min(axis=1), cost.argmin(axis=1)
 
 
+def expanded(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(k, entry) for each entry of the spans ``lo[k]:hi[k]``, about ``ENTRIES`` at a time."""
+    n = hi - lo
+    total = np.concatenate(([0], np.cumsum(n)))
+    k = 0
+    while k < len(n):
+        to = max(int(np.searchsorted(total, total[k] + ENTRIES, side="right")) - 1, k + 1)
+        yield np.repeat(np.arange(k, to), n[k:to]), spans(lo[k:to], n[k:to])
+        k = to
+
+
 class Items:
     """Items by their number of words, with seeds and the keys of every repetition."""
 
@@ -125,22 +138,36 @@ class Items:
         if not self.groups or not len(words.start):
             return none
         hashes = words.hashes(fold=True)
-        doc_of = lambda at: np.searchsorted(words.first, at, side="right") - 1
-        docs, sizes, rows_of, diagonals = [], [], [], []
-        for q, (seed, size, offset, row, maybe) in self.seeds.items():
+        hits, total = [], 0
+        for q, (seed, *_, maybe) in self.seeds.items():
             own = runs(hashes, q, 31)
             at = np.flatnonzero(maybe[(own >> U64(44)).astype(np.int64)])
-            doc = doc_of(at)
+            doc = np.searchsorted(words.first, at, side="right") - 1
             inside = at + q <= words.first[doc + 1]
             at, doc = at[inside], doc[inside]
             lo, hi = np.searchsorted(seed, own[at]), np.searchsorted(seed, own[at], side="right")
             hit = hi > lo
-            at, doc, lo, hi = at[hit], doc[hit], lo[hit], hi[hit]
-            entry = spans(lo, hi - lo)
-            docs.append(np.repeat(doc, hi - lo))
-            sizes.append(size[entry])
-            rows_of.append(row[entry])
-            diagonals.append(np.repeat(at, hi - lo) - offset[entry])
+            hits.append((q, at[hit], doc[hit], own[at[hit]]))
+            total += int((hi - lo).sum())
+        # Runs that many items share and a text repeats meet often: then a part of the items at a time.
+        parts = max(1, -(-total // ENTRIES))
+        found = [self._find(words, hashes, hits, p, parts) for p in range(parts)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _find(self, words: Words, hashes: np.ndarray, hits: list, part: int, parts: int) -> tuple[np.ndarray, ...]:
+        """``find`` for the items of one part."""
+        none = (np.zeros(0, np.int64),) * 4
+        doc_of = lambda at: np.searchsorted(words.first, at, side="right") - 1
+        docs, sizes, rows_of, diagonals = ([np.zeros(0, np.int64)] for _ in range(4))
+        for q, at, doc, own in hits:
+            seed, size, offset, row, _ = self.seeds[q]
+            mine = (size + row) % parts == part
+            seed, size, offset, row = seed[mine], size[mine], offset[mine], row[mine]
+            for which, entry in expanded(np.searchsorted(seed, own), np.searchsorted(seed, own, side="right")):
+                docs.append(doc[which])
+                sizes.append(size[entry])
+                rows_of.append(row[entry])
+                diagonals.append(at[which] - offset[entry])
         doc, size, row, diagonal = map(np.concatenate, (docs, sizes, rows_of, diagonals))
         out = []
         for n, k, q, ids, rows in self.groups:
@@ -169,10 +196,12 @@ class Items:
             pairs = []
             for r, own in enumerate(walk_keys(window)):
                 key, order = self.keys[n, r]
-                lo, hi = np.searchsorted(key, own), np.searchsorted(key, own, side="right")
-                hit = np.flatnonzero(hi > lo)
-                pairs.append(np.repeat(hit, (hi - lo)[hit]) * len(ids) + order[spans(lo[hit], (hi - lo)[hit])])
-            alike = np.unique(np.concatenate(pairs))
+                if parts > 1:
+                    mine = (n + order) % parts == part
+                    key, order = key[mine], order[mine]
+                for which, entry in expanded(np.searchsorted(key, own), np.searchsorted(key, own, side="right")):
+                    pairs.append(np.unique(which * len(ids) + order[entry]))
+            alike = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
             at = start[alike // len(ids)]
             found = list(verify(at, doc_of(at), alike % len(ids), 0))
             whole = [d[edits == 0] * len(ids) + i[edits == 0] for d, i, _, edits in found]
