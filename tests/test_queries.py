@@ -13,13 +13,15 @@ def test_equals_sql(spark, name):
     want = db.execute(core.oracle_sql()[name]).fetchdf()
     got = core.queries()[name](spark, SF).toPandas()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
-    keys = [c for c in ("series", "ts") if c in got.columns]
+    keys = [c for c in ("series", "ts", "column", "fold", "rule") if c in got.columns]
     got, want = (x[sorted(x.columns)].sort_values(keys).reset_index(drop=True) for x in (got, want))
     for c in got.columns:
+        null = got[c].isna()
+        assert (null == want[c].isna()).all(), c
         if got[c].dtype.kind == "f":
-            assert (got[c] - want[c]).abs().max() <= 2e-6, c
+            assert null.all() or (got[c].astype(float) - want[c].astype(float)).abs().max() <= 2e-6, c
         else:
-            assert (got[c] == want[c]).all(), c
+            assert (null | (got[c] == want[c])).all(), c
 
 
 def test_features_have_no_nulls_and_look_back_only(spark):
