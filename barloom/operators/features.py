@@ -90,6 +90,8 @@ def look_back(df: DataFrame, up: float = 0.85, down: float = 0.15, window: int =
     return x.withColumn("efficiency_trend", flag(F.col("efficiency_ratio") > 0.5))
 
 
+#: Bytes of bars, as planned, whose series stay whole.
+WHOLE = 256 << 20
 EVENTS = ("at_oversold", "at_overbought", "at_change")
 
 
@@ -120,15 +122,19 @@ def halo(period: int = 14, offset: float = 0.75, window: int = 20, span: int = 5
     return period + reach(period, offset) + max(average_reach(span), 100 + window) + 1
 
 
-def features(bars: DataFrame, period: int = 14, offset: float = 0.75, up: float = 0.85, down: float = 0.15, window: int = 20, span: int = 5, minutes: int | None = None, per: int = 16384) -> DataFrame:
+def features(bars: DataFrame, period: int = 14, offset: float = 0.75, up: float = 0.85, down: float = 0.15, window: int = 20, span: int = 5, minutes: int | None = None, per: int | None = None) -> DataFrame:
     """(series, ts, the 43 features) of bars.
 
     With ``minutes``, the bars' width, long series are cut into slices of ``per``
     bars, each a task's work: within a slice, values equal those of the whole
     series to about 1e-15, and bars since an event beyond it come from a table
-    with a row for each slice.
+    with a row for each slice.  Without ``per``, that is done (with 16384) where
+    the planner takes the bars for more than ``WHOLE`` bytes.
     """
-    if minutes is None:
+    if minutes is not None and per is None:
+        size = int(bars._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        per = 16384 if WHOLE < size < 1 << 62 else None  # a size beyond is unknown
+    if minutes is None or per is None:
         return count_bars(look_back(indicator(bars, period, offset, span, window), up, down, window))
     x = look_back(indicator(deal(bars, minutes, halo(period, offset, window, span), per), period, offset, span, window), up, down, window).where("own")
     key = [F.col("series.series").alias("of"), F.col("series.slice").alias("slice")]

@@ -222,17 +222,17 @@ def check_higher_bars(higher: DataFrame, least: int = 30) -> None:
 
 
 def extract(bars: DataFrame, minutes: int, extractor, names: list[str], m1: int = 4, m2: int = 12, how: str = "availability", clamp_first: bool = False) -> DataFrame:
-    """``extractor`` (bars to a frame of series, ts and ``names``) on the base bars and on both higher intervals, side by side."""
+    """``extractor`` (bars and their width in minutes to a frame of series, ts and ``names``) on the base bars and on both higher intervals, side by side."""
     check_multipliers(m1, m2)
-    base = extractor(bars).withColumn("ready", F.expr(f"ts + INTERVAL {minutes} MINUTES"))
+    base = extractor(bars, minutes).withColumn("ready", F.expr(f"ts + INTERVAL {minutes} MINUTES"))
     out = base.select("series", "ts", "ready", *(F.col(c).alias(f"{c}_base") for c in names))
     for m, name in ((m1, "mult1"), (m2, "mult2")):
         # What a bar's features know, they know when its window ends.
-        own = extractor(resample(bars, m, minutes)).withColumn("ready", F.expr(f"ts + INTERVAL {m * minutes} MINUTES"))
+        own = extractor(resample(bars, m, minutes), m * minutes).withColumn("ready", F.expr(f"ts + INTERVAL {m * minutes} MINUTES"))
         out = align(out, own, names, f"_{name}", how, clamp_first, m * minutes * 60)
     return out
 
 
 def multi_features(bars: DataFrame, minutes: int, m1: int = 4, m2: int = 12, period: int = 14, how: str = "availability", clamp_first: bool = False) -> DataFrame:
     """(series, ts) and 3 x 43 + 40 columns; by default a base bar sees only higher bars that ended before its own end."""
-    return interactions(extract(bars, minutes, lambda b: features(b, period), FEATURES, m1, m2, how, clamp_first)).drop("ready")
+    return interactions(extract(bars, minutes, lambda b, width: features(b, period, minutes=width), FEATURES, m1, m2, how, clamp_first)).drop("ready")

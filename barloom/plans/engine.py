@@ -10,7 +10,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import multi
-from ..operators.features import FEATURES, count_bars, look_back
+from ..operators.features import FEATURES, features
 from ..operators.kernel import indicator
 from ..operators.validation import look_ahead
 
@@ -139,7 +139,7 @@ class Engine:
         """(series, ts) and ``columns``."""
         s = self.setup
         if self.mode == "single":
-            return self._single(self._checked(data, s.window))
+            return self._single(self._checked(data, s.window), s.minutes)
         bars = self._checked(data, self.min_lookback)
         if s.alignment == "availability":
             for m in (s.m1, s.m2):
@@ -147,9 +147,9 @@ class Engine:
         out = multi.interactions(multi.extract(bars, s.minutes, self._single, FEATURES, s.m1, s.m2, s.alignment, s.clamp_first))
         return out.select("series", "ts", *self.columns)
 
-    def _single(self, bars: DataFrame) -> DataFrame:
+    def _single(self, bars: DataFrame, minutes: int) -> DataFrame:
         s = self.setup
-        return count_bars(look_back(indicator(bars, s.period, s.offset, s.span, s.window), s.up, s.down, s.window))
+        return features(bars, s.period, s.offset, s.up, s.down, s.window, s.span, minutes)
 
     def check_look_ahead(self, data, prefixes: int = 100) -> DataFrame:
         """(series, column, n_wrong) of the oscillator; ValueError for series that are too short."""

@@ -44,7 +44,7 @@ def _sliced(b: DataFrame) -> DataFrame:
 
 def _aligned(b: DataFrame, how: str, clamp_first: bool = False) -> DataFrame:
     names = ["rsi", "regime"]
-    out = multi.extract(b, MINUTES, lambda x: features.features(x).select("series", "ts", *names), names, 4, 12, how, clamp_first)
+    out = multi.extract(b, MINUTES, lambda x, width: features.features(x, minutes=width).select("series", "ts", *names), names, 4, 12, how, clamp_first)
     return out.drop("ready")
 
 
@@ -95,7 +95,7 @@ ON_BARS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "volatility": _volatility,
     "oscillator": _oscillator,
     "fixed_period": lambda b: kernel.fixed_period(b, 32.0).select("series", "ts", "l0", "l1", "l2", "l3", "rsi"),
-    "features": features.features,
+    "features": lambda b: features.features(b, minutes=MINUTES),
     "features_sliced": _sliced,
     "multi_features": lambda b: multi.multi_features(b, MINUTES),
     "pruned_features": _pruned,
