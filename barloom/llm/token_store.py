@@ -41,10 +41,10 @@ from .ranking import ranked
 from .words import PLAIN, U64, Words, blocks, mix, runs, spans
 
 REACH, LEAST, MOST, MEAN = 16, 64, 2048, 256
-PART = 1 << 21
+PART = 1 << 20
 #: Parts under one node of the manifest's upper tree.
 FAN = 1 << 12
-CACHE = 1 << 20
+CACHE = 3 << 18
 #: Digests of a task's chunks that it remembers.
 SEEN = 1 << 17
 _STOPS = np.zeros(256, dtype=bool)

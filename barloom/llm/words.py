@@ -8,6 +8,7 @@ object is made for each word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,6 +185,23 @@ def run_starts(first: np.ndarray, size: int) -> np.ndarray:
     return ok
 
 
+def _trim():
+    """The C library's function that gives freed memory back, where there is one."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda keep: 0
+
+
+_malloc_trim = _trim()
+
+
+def release() -> None:
+    """Gives memory that this worker has freed back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim(0)
+
+
 #: Bytes of documents that are looked at together, but for a longer one.
 BLOCK = 1 << 20
 
@@ -210,6 +228,7 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
         to = min(max(to, at + 1), n)
         yield at, to, everything[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
         at = to
+    release()
 
 
 def word_blocks(column: pa.Array, limit: int = BLOCK, space: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
