@@ -35,9 +35,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.dir = spark, f"{shared_dir(spark)}/barloom/{what}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.dir}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -272,11 +272,11 @@ def write_store(docs: DataFrame, place: str, tokenizer_path: str, end: int = 1,
         return work
 
     made = map_arrow(texts(docs, id_col, text_col), "doc_id long, n_tokens long, width int, root binary, digests binary, fresh array<int>, chunks array<binary>", make)
-    made = scratch.keep(made, "encoded")
+    made = scratch.keep(made, "encoded", "zstd")  # ids have few bits each
     chunks = made.select("digests", F.inline(F.arrays_zip("fresh", "chunks"))).select(F.expr("substring(digests, 16 * fresh + 1, 16)").alias("digest"), F.col("chunks").alias("ids"))
     # In buckets by digest, so that readers join the chunks where they lie.
     buckets = shuffle_partitions(spark)
-    chunks.dropDuplicates(["digest"]).write.format("parquet").option("path", f"{place}/chunks").bucketBy(buckets, "digest").saveAsTable(_table_name(place))
+    chunks.dropDuplicates(["digest"]).write.format("parquet").option("compression", "zstd").option("path", f"{place}/chunks").bucketBy(buckets, "digest").saveAsTable(_table_name(place))
     spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{place}/layout")
     recipes = scratch.keep(made.drop("fresh", "chunks"), "recipes")
     scratch.drop("encoded")
