@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -45,6 +46,11 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def sweep(self) -> None:
+        """Shuffle files of finished tables go when the driver collects its garbage, which may be long after."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def plan_bytes(df: DataFrame) -> int:
     """The planner's estimate of a DataFrame's size; nothing is run."""

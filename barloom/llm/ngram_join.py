@@ -4,6 +4,9 @@ Two documents link when the Jaccard similarity of their sets of distinct
 ``size``-word shingles is at least ``percent`` / 100, exactly.  Texts with the
 same words collapse first and one of them stands for all.
 
+First filter.  Most documents share too little with all others together to
+link.  ``likely`` finds the rest from counts of the least hashes of each set; only these go on.
+
 Filter.  Under any fixed order of shingles, two linked sets share a shingle
 among the first n - ceil(t n) + 1 of each.  Several orders are used; each puts
 shingles that a count-min sketch knows to be rarer first and breaks ties by
@@ -37,8 +40,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sketch
-from .common import Scratch, documents, fresh, map_arrow, texts
+from . import likely, sketch
+from .common import Scratch, documents, fresh, map_arrow, plan_bytes, texts
 from .components import components
 from .words import U64, Words, mix, run_starts, runs, sequences, word_blocks
 
@@ -76,8 +79,23 @@ def _sketch_keys(size: int):
     return keys
 
 
+def _number(rows: DataFrame, size: int) -> DataFrame:
+    """Adds the keys of each row's word sequence and its set's size."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for lo, hi, words in word_blocks(batch.column("text")):
+                _, bounds, hashes = shingle_sets(words, size)
+                keys = (pa.array(sequences(hashes, words.first, seed).view(np.int64)) for seed in (61, 62))
+                yield pa.record_batch([*batch.slice(lo, hi - lo).columns, *keys, pa.array(np.diff(bounds))], names=[*batch.schema.names, "k1", "k2", "n"])
+
+        return work
+
+    return map_arrow(rows, "row long, doc_id long, t1 long, t2 long, text string, k1 long, k2 long, n long", make)
+
+
 def _scan(rows: DataFrame, packed, size: int, percent: int, orders: int) -> DataFrame:
-    """Of each row: keys of its word sequence, its set's size, and, if its prefixes hold a shingle that may be shared, those and the set."""
+    """Of each row whose prefixes hold a shingle that may be shared: its set's size, those and the set."""
 
     def make():
         levels = packed.value
@@ -92,10 +110,9 @@ def _scan(rows: DataFrame, packed, size: int, percent: int, orders: int) -> Data
                 single = np.concatenate(([0], np.cumsum(level == 0)))
                 single = single[bounds[1:]] - single[bounds[:-1]]
                 prefix = n - -(-percent * n // 100) + 1
-                tokens, order, place, kept, ends = [], [], [], [], [0]
+                tokens, order, place, kept, ends, which = [], [], [], [], [0], []
                 total = 0
                 for d in range(hi - lo):
-                    blob = None
                     if n[d] and single[d] < prefix[d]:
                         own = sets[bounds[d] : bounds[d + 1]]
                         lv = level[bounds[d] : bounds[d + 1]]
@@ -108,29 +125,27 @@ def _scan(rows: DataFrame, packed, size: int, percent: int, orders: int) -> Data
                                 order.append(np.full(len(at), k, np.int8))
                                 place.append(np.arange(single[d], single[d] + len(at), dtype=np.int32))
                                 total += len(at)
-                            blob = own.tobytes()
-                    kept.append(blob)
-                    ends.append(total)
+                            which.append(d)
+                            kept.append(own.tobytes())
+                            ends.append(total)
                 offsets = pa.array(ends, pa.int32())
                 cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
                 yield pa.record_batch(
                     [
-                        *(batch.column(c).slice(lo, hi - lo) for c in ("row", "doc_id", "t1", "t2")),
-                        pa.array(sequences(hashes, words.first, 61).view(np.int64)),
-                        pa.array(sequences(hashes, words.first, 62).view(np.int64)),
-                        pa.array(n.astype(np.int64)),
-                        pa.array(single.astype(np.int32)),
+                        batch.column("row").slice(lo, hi - lo).take(pa.array(which, pa.int64())),
+                        pa.array(n[which].astype(np.int64)),
+                        pa.array(single[which].astype(np.int32)),
                         pa.ListArray.from_arrays(offsets, pa.array(cat(tokens, np.uint64).view(np.int64))),
                         pa.ListArray.from_arrays(offsets, pa.array(cat(order, np.int8))),
                         pa.ListArray.from_arrays(offsets, pa.array(cat(place, np.int32))),
                         pa.array(kept, pa.binary()),
                     ],
-                    names=["row", "doc_id", "t1", "t2", "k1", "k2", "n", "single", "tokens", "orders", "places", "shingles"],
+                    names=["row", "n", "single", "tokens", "orders", "places", "shingles"],
                 )
 
         return work
 
-    return map_arrow(rows, "row long, doc_id long, t1 long, t2 long, k1 long, k2 long, n long, single int, tokens array<long>, orders array<byte>, places array<int>, shingles binary", make)
+    return map_arrow(rows.select("row", "text"), "row long, n long, single int, tokens array<long>, orders array<byte>, places array<int>, shingles binary", make)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,21 +193,32 @@ def _components(docs: DataFrame, size: int = 5, percent: int = 75, orders: int =
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "ngram")
     rows = texts(docs, id_col, text_col)
-    cells = sketch.cells_for(docs.select(text_col), PER_BYTE)
-    packed = spark.sparkContext.broadcast(sketch.build(rows, _sketch_keys(size), cells, 1))
     # Rows are numbered where they are written, so a number is never null, nor dealt anew.
-    numbered = rows.select("doc_id", "text", *_text_keys("text")).withColumn("row", F.monotonically_increasing_id())
-    scan = scratch.keep(_scan(numbered, packed, size, percent, orders), "scan")
+    numbered = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", *_text_keys("text"), "text")
+    numbered = scratch.keep(_number(numbered, size), "rows", "zstd")
+    ids = scratch.keep(numbered.drop("text"), "ids")
 
     best = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t1", "t2")))
-    reps = scan.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("rep"), best.alias("own"))
-    posted = scan.where(F.col("shingles").isNotNull()).join(reps.select(F.col("rep").alias("row")), "row", "left_semi")
+    reps = scratch.keep(ids.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("rep"), best.alias("own")), "reps")
+    chosen = spark.sparkContext.broadcast(likely.Rows(likely.bits_of(reps.select(F.col("rep").alias("row")))))
+    some = likely.likely(numbered, lambda words: shingle_sets(words, size)[:2], chosen, percent, plan_bytes(docs.select(text_col)))
+    some = spark.sparkContext.broadcast(likely.Rows(some))
+    kept = scratch.keep(map_arrow(numbered.select("row", "text"), "row long, text string", lambda: lambda batch: [some.value.cut(batch)]), "likely", "zstd")
+    scratch.drop("rows")
+    scratch.sweep()
+
+    cells = sketch.cells_for(kept.select("text"), PER_BYTE)
+    packed = spark.sparkContext.broadcast(sketch.build(kept, _sketch_keys(size), cells, 1))
+    posted = scratch.keep(_scan(kept, packed, size, percent, orders), "scan")
+    scratch.drop("likely")
+    scratch.sweep()
     sets = posted.select("row", "shingles")
     posts = posted.select(F.col("row").alias("doc"), "n", "single", F.inline(F.arrays_zip("orders", "tokens", "places"))).select(F.col("orders").alias("ord"), F.col("tokens").alias("token"), "doc", "n", "single", F.col("places").alias("pos"))
     posts = scratch.keep(posts, "sent")
     shared = posts.groupBy("ord", "token").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     posts = scratch.keep(posts.join(shared.select("ord", "token"), ["ord", "token"], "left_semi"), "posts")
     scratch.drop("sent")
+    scratch.sweep()
 
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     first = posts.where("ord = 0").select("token", "n", "doc", "single")
@@ -222,6 +248,8 @@ def _components(docs: DataFrame, size: int = 5, percent: int = 75, orders: int =
     pairs = meet.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"), "ord").distinct().groupBy("a", "b").agg(F.count("*").alias("k")).where(F.col("k") == orders).select("a", "b")
     more = scratch.keep(_verify(pairs, sets, percent), "more")
     scratch.drop("mixed")
+    scratch.drop("scan")
+    scratch.sweep()
 
     names = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     bridges = more.join(names("a"), "a", "left").join(names("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
@@ -230,7 +258,7 @@ def _components(docs: DataFrame, size: int = 5, percent: int = 75, orders: int =
     found = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "own", F.coalesce("label", "rep").alias("component"), F.col("label").isNotNull().alias("linked"))
     least = found.where("linked").groupBy("component").agg(F.min("own").alias("least"))
     found = found.join(least, "component", "left").select("k1", "k2", F.coalesce("least", "own").alias("best"))
-    return scan.select("doc_id", "t1", "t2", "k1", "k2", "n").join(found, ["k1", "k2"], "left").select("doc_id", "t1", "t2", "n", F.when(F.col("n") > 0, F.col("best")).alias("best"))
+    return ids.select("doc_id", "t1", "t2", "k1", "k2", "n").join(found, ["k1", "k2"], "left").select("doc_id", "t1", "t2", "n", F.when(F.col("n") > 0, F.col("best")).alias("best"))
 
 
 def ngram_components(docs: DataFrame, **how) -> DataFrame:
@@ -246,7 +274,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keys = fresh(docs, "key_id", "key_t1", "key_t2")
     gone = found.where("doc_id IS NOT NULL AND best <> struct(doc_id, t1, t2)").select(*(F.col(c).alias(k) for c, k in zip(("doc_id", "t1", "t2"), keys, strict=True)))
     gone = scratch.keep(gone.distinct(), "gone")
-    scratch.drop("scan")
+    scratch.drop("ids")
+    scratch.drop("reps")
     keyed = docs.select("*", F.col(f"`{id_col}`").cast("long").alias(keys[0]), *(c.alias(k) for c, k in zip(_text_keys(text_col), keys[1:])))
     kept = keyed.join(gone, keys, "left_anti")
     known = kept.where(F.col(keys[0]).isNotNull()).dropDuplicates(keys)

@@ -1,5 +1,10 @@
+import os
 import random
 
+import numpy as np
+import pytest
+
+from barloom.llm import common, likely, sketch
 from barloom.llm.ngram_join import drop_near_copies, ngram_components
 
 from . import brute
@@ -61,3 +66,67 @@ def test_rows_link_by_their_texts_whatever_their_ids(spark):
     kept = drop_near_copies(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "n", "component_id"]
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id) == sorted([rows[0][:2], rows[1][:2], rows[3][:2]])
+
+
+def test_disk_does_not_hang_on_the_sketch(spark, monkeypatch):
+    """Past its bound a sketch tells nothing apart: documents that can't link still aren't stored as sets and prefixes."""
+    rng = random.Random(11)
+    line = " ".join(f"often{k}" for k in range(12))  # all documents share a line
+    rows = [(d, " ".join([*(f"w{rng.randint(0, 5000)}" for _ in range(150)), line, *(f"w{rng.randint(0, 5000)}" for _ in range(150))])) for d in range(2000)]
+    rows += [(2000 + d, f"{text} more") for d, text in rows[:20]]
+    docs = frame(spark, rows).repartition(2)
+    written, keep = {}, common.Scratch.keep
+
+    def kept(self, df, name, *compression):
+        out = keep(self, df, name, *compression)
+        top = f"{self.dir.removeprefix('file://')}/{name}"
+        written[name] = sum(os.path.getsize(f"{top}/{f}") for f in os.listdir(top) if f.endswith(".parquet"))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "keep", kept)
+    monkeypatch.setattr(sketch, "MOST_CELLS", 1 << 10)
+    got = {r.doc_id: r.component_id for r in ngram_components(docs).collect()}
+    assert got == {d: d % 2000 for d, _ in rows}
+    assert sum(written.values()) < 1.5 * sum(len(t) for _, t in rows), written
+
+
+@pytest.mark.parametrize("percent", [1, 40, 75, 90, 100])
+def test_rows_that_link_pass_whatever_the_slices(spark, monkeypatch, percent):
+    monkeypatch.setattr(likely, "SLICE_BYTES", 1 << 6)
+    monkeypatch.setattr(likely, "FLUSH", 500)
+    rng = random.Random(percent)
+    rows = near_copies(rng, 5, 8) + [(100, "a b c d e"), (101, "a b c d e a b c d e"), (102, None), (103, "a a a a a a"), (104, "a a a a a a a")]
+    sets = {d: brute.shingles(t) for d, t in rows}
+    low = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+    got = {r.doc_id: r.component_id for r in ngram_components(frame(spark, rows), percent=percent).collect()}
+    assert got == low
+
+
+def test_prefixes_hold_what_must_be_shared():
+    rng = np.random.default_rng(3)
+    for percent in (1, 30, 75, 99, 100):
+        for _ in range(300):
+            n = int(rng.integers(1, 200))
+            most = n * 100 // percent
+            m = int(rng.integers(n, min(most, 400) + 1))
+            both = max(1, -(-percent * (n + m) // (100 + percent)))  # the least intersection of linked sets of n and m
+            if both > n:
+                continue
+            everything = rng.permutation(n + m - both)
+            a, b = np.sort(everything[:n]), np.sort(everything[n - both :])
+            (sent_a, sent_b), (need_a, need_b) = likely.prefixes(np.array([n, m]), percent)
+            seen = len(np.intersect1d(a[:sent_a], b[:sent_b]))
+            assert seen >= need_a and seen >= need_b
+
+
+def test_row_sets(spark):
+    rows = [0, 1, 8, 65535, 65536, 3 << 33, (3 << 33) + 77]
+    chosen = likely.Rows(likely.bits_of(spark.createDataFrame([(r,) for r in rows], "row long")))
+    asked = np.array([*rows, 2, 65534, 65537, 5 << 33, (3 << 33) + 76])
+    assert chosen.has(asked).tolist() == [True] * 7 + [False] * 5
+    assert not likely.Rows(likely.bits_of(spark.createDataFrame([], "row long"))).has(asked).any()
