@@ -44,7 +44,10 @@ REACH, LEAST, MOST, MEAN = 16, 64, 2048, 256
 PART = 1 << 20
 #: Parts under one node of the manifest's upper tree.
 FAN = 1 << 12
-CACHE = 3 << 18
+#: Words in either generation of a worker's cache.
+CACHE = 1 << 19
+#: Words that the tokenizer sees at once, joined by spaces.
+JOINED = 512
 #: Digests of a task's chunks that it remembers.
 SEEN = 1 << 17
 _STOPS = np.zeros(256, dtype=bool)
@@ -75,7 +78,8 @@ class Cache:
 
     def clear(self) -> None:
         self.keys, self.where = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
-        self.begin, self.size, self.flat, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0, 0
+        self.begin, self.size = np.zeros(self.most, np.int64), np.zeros(self.most, np.int32)
+        self.flat, self.ids, self.used = np.zeros(1 << 16, np.uint32), 0, 0
 
     def _slot(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> U64(20)).astype(np.int64) & (self.slots - 1)
@@ -92,6 +96,11 @@ class Cache:
             left, slot = left[on], slot[on] + 1 & self.slots - 1
         return out
 
+    def ids_of(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of entry after entry, number of ids of each)."""
+        size = self.size[entry]
+        return self.flat[spans(self.begin[entry], size)], size
+
     def add(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         """Adds words, distinct and new; a hash is never 0."""
         if self.ids + len(flat) > len(self.flat):
@@ -99,8 +108,8 @@ class Cache:
             grown[: self.ids] = self.flat[: self.ids]
             self.flat = grown
         self.flat[self.ids : self.ids + len(flat)] = flat
-        self.begin = np.concatenate((self.begin, self.ids + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
+        self.begin[self.used : self.used + len(size)] = self.ids + np.cumsum(size) - size
+        self.size[self.used : self.used + len(size)] = size
         left, slot = np.arange(len(hashes)), self._slot(hashes)
         while len(left):
             free = self.keys[slot] == 0
@@ -124,7 +133,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.by_word, self.caseless = self._checked()
-        self.cache = Cache(CACHE)
+        self.last = self._lasts() if self.by_word else None
+        self.cache, self.older = Cache(CACHE), Cache(CACHE)
 
     def _checked(self) -> tuple[bool, bool]:
         """Whether words can be encoded one by one, and whether ASCII case makes no difference, tried on a text of every kind of mark."""
@@ -136,8 +146,44 @@ class Encoder:
         by_word = all(ids(between.join(words)) == each for between in (" ", "\n\t ", "  \r\x0b\x0c")) and ids("ab, b7. Zz?!") == cut and ids(" a ") == ids("a")
         return by_word, by_word and all(ids(w) == ids(w.lower()) for w in words if w.isascii())
 
+    def _lasts(self) -> np.ndarray | None:
+        """By id, whether it ends a piece of a word; None where the vocabulary doesn't mark that for every byte."""
+        from tokenizers import pre_tokenizers
+
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        if not suffix or any(c + suffix not in vocab for c in pre_tokenizers.ByteLevel.alphabet()):
+            return None
+        last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        for w in ("a", "Abc", "\u00c9t\u00e9", "\u6f22\u5b57"):
+            ids = self.tokenizer.encode(w, add_special_tokens=False).ids
+            if not ids or not last[ids[-1]] or last[ids[:-1]].any():
+                return None
+        return last
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of word after word, number of ids of each); one call for all but those that may hold a special token."""
+        """(ids of word after word, number of ids of each)."""
+        letters = np.fromiter(map(str.isalpha, words), bool, len(words)) & (self.last is not None)
+        order, flats, sizes = [], [], []
+        for own, code in ((np.flatnonzero(letters), self._letters), (np.flatnonzero(~letters), self._any)):
+            for lo in range(0, len(own), JOINED):
+                order.append(own[lo : lo + JOINED])
+                flat, size = code([words[j] for j in order[-1].tolist()])
+                flats.append(flat)
+                sizes.append(size)
+        size, back = np.concatenate(sizes), np.argsort(np.concatenate(order))
+        begin = np.cumsum(size) - size
+        return np.concatenate(flats)[spans(begin[back], size[back])], size[back]
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of letters alone: without offsets, which take half the time.  Each word has a last id at least; if there are as many as words, one each."""
+        flat = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        at = np.flatnonzero(self.last[flat])
+        # A letter whose lower case has a mark of its own, say, makes two pieces.
+        return (flat, np.diff(at, prepend=-1)) if len(at) == len(words) else self._any(words)
+
+    def _any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of any words, told apart by offsets; one call for all but those that may hold a special token."""
         plain = [w for w in words if "<|" not in w]
         got = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
         lengths = np.fromiter(map(len, plain), np.int64, len(plain))
@@ -166,13 +212,16 @@ class Encoder:
         if len(new):
             known, at = np.unique(hashes[new], return_index=True)
             if cache.used + len(known) > cache.most:
-                if cache.used:
-                    cache.clear()
+                if cache.used:  # a full cache serves on as the older one, from which words in use move over
+                    self.cache, self.older = self.older, cache
+                    self.cache.clear()
                     return self._rows(words)
                 cache = Cache(len(known))  # for this block alone
-            at = new[at]
+            at, there = new[at], self.older.find(known)
+            cache.add(known[there >= 0], *self.older.ids_of(there[there >= 0]))
+            known, at = known[there < 0], at[there < 0]
             for k in range(0, len(known), 4096):
-                cache.add(known[k : k + 4096], *self._encode([words.text(j).decode() for j in at[k : k + 4096].tolist()]))
+                cache.add(known[k : k + 4096], *self._encode(words.texts(at[k : k + 4096])))
             entry[new] = cache.find(hashes[new])
         return entry, cache
 
@@ -185,8 +234,7 @@ class Encoder:
         else:
             words = Words(data, edges, cut=(_ASCII, _STOPS))
             entry, cache = self._rows(words)
-            lengths = cache.size[entry]
-            body = cache.flat[spans(cache.begin[entry], lengths)]
+            body, lengths = cache.ids_of(entry)
             total = np.concatenate(([0], np.cumsum(lengths)))
             size = np.diff(total[words.first])
         bounds = np.concatenate(([0], np.cumsum(size + 1)))

@@ -120,6 +120,15 @@ class Words:
     def text(self, k: int) -> bytes:
         return self.data[self.start[k] : self.end[k]].tobytes()
 
+    def texts(self, at: np.ndarray) -> list[str]:
+        """The words ``at``; unless they are long, in one pass: none holds a space."""
+        size = self.end[at] - self.start[at] + 1  # with the byte after it, which makes way for a space
+        if size.sum() > BLOCK:
+            return [self.text(k).decode() for k in at.tolist()]
+        out = self.data.take(spans(self.start[at], size), mode="clip")
+        out[np.cumsum(size) - 1] = 0x20
+        return out[:-1].tobytes().decode().split(" ") if len(at) else []
+
 
 def _totals(terms: np.ndarray) -> np.ndarray:
     """Running sums of up to ``PIECE`` terms, each times its place's power; from 0 on."""

@@ -168,6 +168,45 @@ def test_token_store_query_and_sharding_query(spark):
     assert {d: (len(t.encode()) + 1, zlib.crc32(t.encode())) for d, t in docs} == {d: (r["size"], r.text_crc32) for d, r in shards.items()}
 
 
+def test_token_store_words_cost_little(monkeypatch):
+    """Words of letters take no offsets, and those in use outlive a full cache; ids stay the library's."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tokenizer, asked, offsets = Tokenizer.from_file(path), [], []
+
+    class Spy:
+        def encode(self, text, **more):
+            asked.extend(text.split(" "))
+            offsets.extend(text.split(" "))
+            return tokenizer.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(w for t in texts for w in t.split(" "))
+            return tokenizer.encode_batch_fast(texts, **more)
+
+    def encoded(coder, *texts):
+        data = [t.encode() for t in texts]
+        ids, bounds = coder.encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data]))), 1)
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+    monkeypatch.setattr(token_store, "CACHE", 64)
+    coder = token_store.Encoder(path)
+    coder.tokenizer = Spy()
+    encoded(coder, "Abc \u00c9t\u00e9", "", "\u6f22\u5b57 abc \u1112\u1161\u11ab \u017f \ufb01x e\n")
+    assert len(asked) == 7 and not offsets
+    for k in range(20):  # 20 words a block: the cache of 64 fills over and over
+        encoded(coder, "common " + " ".join(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(19)))
+    assert asked.count("common") == 1 and len(asked) == 8 + 20 * 19 and not offsets
+    # Letters whose lower case has a mark, letters with a mark, white space that doesn't part words, special tokens.
+    encoded(coder, "\u0130b \u0130\u0130 a", "don't e\u0301 \u0301 \u00a0 x\u00a0y 12 a$$$ <|endoftext|>z <|", "\u0130 \u3000 \u0130", "q" * 3000)
+    for words in (words_of("ab \u00e9", "", "c"), words_of("ab \u00e9", "x" * 2_000_000 + " c"), words_of("", " ")):
+        every = np.arange(len(words.start))
+        assert words.texts(every[::-1]) == [words.text(k).decode() for k in every[::-1]]
+    encoded(coder, " ".join(f"z{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)) + " common \u0130")  # more words than the cache takes
+
+
 def test_merkle_of_subtrees_is_that_of_the_whole():
     leaves = [token_store.digest(bytes([k])) for k in range(45)]
     for n in (1, 7, 8, 9, 16, 31, 45):
